@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontaminate, sharding, simhash
+from lodestone.llm import bpe, decontaminate, langid, quality, sharding, simhash
 from lodestone.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARD_BYTES = 1 << 20
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -26,6 +30,10 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=512)
 
@@ -35,9 +43,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op4_extendible_shards": op4_extendible_shards,
     "op5_simhash": op5_simhash,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_language_id": op7_language_id,
     "op8_token_counts": op8_token_counts,
     "op10_decontaminate": op10_decontaminate,
 }
