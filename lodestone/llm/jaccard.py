@@ -53,6 +53,8 @@ BLOCK = 512
 GROUP_KEYS = 1 << 20
 #: Bits of the filter that spares documents without candidates a second hashing; bounds what is sent to tasks.
 FILTER_BITS = 1 << 23
+#: Rows of two numbers that may be sent to every task; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 CACHE = 1 << 19
 USED, EXACT = 1, 2
 
@@ -156,15 +158,15 @@ def _bands(num: int, den: int) -> Bands:
 
 
 def sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles and sid (null for an empty set) of every document."""
+    """id, th (a hash of the text), n (how many shingles) and sid (null for an empty set) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            held = [shingles(t, k, hashes) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in held], pa.int64()), pa.array([set_id(s) if len(s) else None for s in held], pa.int64())], names=["id", "n", "sid"])
+            held = [shingles(t, k, hashes) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in held], pa.int64()), pa.array([set_id(s) if len(s) else None for s in held], pa.int64())], names=["id", "th", "n", "sid"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, sid long")
+    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, th long, n long, sid long")
 
 
 def _packed_keys(docs: DataFrame, k: int, num: int, den: int, groups: int, id_col: str, text_col: str) -> DataFrame:
@@ -328,6 +330,11 @@ def _blocks(num: int, den: int):
 
 def classes(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (the smallest id of the class) of every document."""
+    found = _classes(docs, k, num, den, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     base = materialize(sets(docs, k, id_col, text_col))
     reps = materialize(base.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n")))
@@ -357,11 +364,19 @@ def classes(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id",
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "c").select(F.col("sid").alias("s"), "component_id")
     out = base.join(named, F.col("sid") == F.col("s"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("id", "th", "n", "sid", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that are not the smallest id of their class; of rows that share that id and class all stay."""
-    found = classes(docs, k, num, den, id_col, text_col)
-    go = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(go, F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of each class: that of the smallest id (of the smallest text hash, if an id has several texts).
+
+    Texts without words are no class and all stay, as do rows with a null id.
+    """
+    found = materialize(_classes(docs, k, num, den, id_col, text_col).filter("sid IS NOT NULL AND id IS NOT NULL").select("id", "th", "component_id"))
+    least = found.groupBy("component_id").agg(F.min(F.struct("id", "th")).alias("least"))
+    go = materialize(found.join(least, "component_id").filter(F.struct("id", "th") != F.col("least")).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct())
+    side = F.broadcast(go) if go.count() <= BROADCAST_ROWS else go
+    kept = docs.join(side, (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left_anti")
+    if found.groupBy("id", "th").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter(F.col(id_col).isNull() | F.col(text_col).isNull()).unionAll(kept.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).dropDuplicates([id_col, text_col]))

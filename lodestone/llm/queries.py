@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontaminate, jaccard, langid, quality, sharding, simhash, toxicity
+from lodestone.llm import bpe, decontaminate, jaccard, langid, pages, quality, sharding, simhash, toxicity
 from lodestone.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -18,6 +18,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -52,6 +56,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_page_text": op2_page_text,
     "op3_jaccard_classes": op3_jaccard_classes,
     "op4_extendible_shards": op4_extendible_shards,
     "op5_simhash": op5_simhash,
