@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from lodestone.plans import relational_queries, span_queries, version_queries
+from lodestone.session import ship
 
 FLAGSHIP = "agg_group"
 
 
-def agg_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lineitem.filter(F.col("l_discount") < 0.05).groupBy("l_returnflag").agg(F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n"))
+def _ready(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
 
+    return run
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"agg_group": agg_group}
 
-ORACLES: dict[str, str] = {"agg_group": "SELECT l_returnflag, SUM(l_quantity) AS sum_qty, COUNT(*) AS n FROM lineitem WHERE l_discount < 0.05 GROUP BY l_returnflag"}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _ready(f) for part in (relational_queries, span_queries, version_queries) for name, f in part.Q.items()}
+ORACLES: dict[str, str] = {name: sql for part in (relational_queries, span_queries, version_queries) for name, sql in part.SQL.items()}
