@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from lodestone.session import ship
 
@@ -39,3 +40,8 @@ def materialize(df: DataFrame) -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def schema_with(df: DataFrame, kept: list[str], extra: str) -> T.StructType:
+    """The fields of df's columns kept, then those of a DDL string; any column name will do."""
+    return T.StructType([*(df.schema[c] for c in kept), *T.StructType.fromDDL(extra)])

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import schema_with
 from lodestone.llm.quality import fold
 
 WINDOW = 256
@@ -170,8 +171,7 @@ def predict(docs: DataFrame, network: Network | None, text_col: str = "text") ->
             lang, score = network.predict(texts, tables) if network and texts else ([UNKNOWN] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.mapInArrow(run, schema_with(docs, kept, "lang_pred string, score double"))
 
 
 def digest(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -182,7 +182,6 @@ def digest(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 def keep(docs: DataFrame, least: float = 0.4, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The rows of docs, with docs' columns, whose language is known with a score of at least `least`."""
-    columns = docs.columns
     network = train(docs.filter(fold(F.col("doc_id"), 5) != 0), per_language=per_language)
-    scored = predict(docs.withColumn("_scored", F.col("text")), network, text_col="_scored")
-    return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*columns)
+    scored = predict(docs.select(F.struct("*").alias("row"), F.col("text").alias("t")), network, text_col="t")
+    return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import schema_with
+
 WORD_BUCKETS = 2048
 RANK = 8
 BINS = 12
@@ -157,8 +159,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
             s = np.array([machine.score(*features.of(t)) for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return docs.mapInArrow(run, schema_with(docs, kept, "score double, predicted int"))
 
 
 def digest(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -169,7 +170,6 @@ def digest(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
 def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, with docs' columns, that the classifier predicts 1 for."""
-    columns, text = docs.columns, F.col("text")
     machine = train(docs, labels.filter(fold(F.col("doc_id"), 3) != 1), sample=sample)
-    scored = score(docs.withColumn("_scored", text), machine, text_col="_scored")
-    return scored.filter("predicted = 1").select(*columns)
+    scored = score(docs.select(F.struct("*").alias("row"), F.col("text").alias("t")), machine, text_col="t")
+    return scored.filter("predicted = 1").select("row.*")

@@ -61,7 +61,7 @@ def assign(docs: DataFrame, limit: int, key_col: str = "doc_id", text_col: str =
 def write_shards(docs: DataFrame, path: str, limit: int, key_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes docs to one folder a shard; each shard is at most limit bytes of text, so it is one task's work."""
     places = assign(docs, limit, key_col, text_col).select(F.col(key_col).alias("_key"), "shard_depth", "shard_prefix").distinct()
-    placed = docs.join(places, F.col(key_col).eqNullSafe(F.col("_key"))).drop("_key")
+    placed = docs.join(places, docs[key_col].eqNullSafe(places["_key"])).drop(places["_key"])
     placed.repartition("shard_depth", "shard_prefix").write.partitionBy("shard_depth", "shard_prefix").parquet(path)
 
 

@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import schema_with
+
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 BUCKETS = 1 << 20
 SAMPLE = 1500
@@ -189,8 +191,7 @@ def score(docs: DataFrame, chain: Chain, categories: list[str], text_col: str =
             p = np.array([chain.probabilities(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(categories))
             yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], *(pa.array(p[:, k]) for k in range(len(categories)))], names=[*kept, *(f"p_{c}" for c in categories)])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.mapInArrow(run, kinds + "".join(f", p_{c} double" for c in categories))
+    return docs.mapInArrow(run, schema_with(docs, kept, ", ".join(f"`p_{c}` double" for c in categories)))
 
 
 def categories() -> dict[str, Column]:
