@@ -99,7 +99,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: in
     share = float(y.mean()) if len(y) else 0.5
     bias = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
     w, v = np.zeros(FEATURES, np.float32), np.zeros((FEATURES, RANK), np.float32)
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Machine(bias, w, v)
     rng = np.random.default_rng(seed)
     v = rng.normal(0, 0.05, v.shape).astype(np.float32)
