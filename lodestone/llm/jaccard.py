@@ -11,17 +11,18 @@ them (pigeonhole).  A set's tokens in a range, as one hash, are its segment's ke
 
 *One-deletion neighbourhoods and allocation.*  D of the segments, twice as wide, are indexed with every key that
 dropping one token gives, so they also match when one token differs and count twice in the pigeonhole.  That lets each
-set leave D other segments unused: it leaves those that cost most candidates, the ones with the fewest tokens (empty
-ones above all).  A left segment is still indexed for sets that use it; a pair is a candidate if either set uses the
-shared key.
+set leave D other segments unused: it leaves those that cost most candidates, the ones whose tokens are all frequent in
+the corpus (empty ones above all), then those with the fewest tokens.  A left segment is still indexed for sets that use
+it; a pair is a candidate if either set uses the shared key.  Frequencies steer the cost alone, never the result.
 
 *Candidates.*  Keys are dealt by hash in packed arrays.  A key that few sets share gives all its pairs.  A key that many
-share gives the pairs with one member (the least), which are linear in number; its members are kept, and after the first
-components are known, keys whose members all fell into one component are done.  The rest is verified in blocks of bounded
-size, skipping what is already connected.  So no group is expanded into all pairs, and no link between different
-components is lost.
+share gives the pairs with one member, its pivot (the least), which are linear in number; the members are kept by pivot.
+After the first components are known, pivots whose members all fell into one component are done.  Of the rest, members of
+different components are compared in blocks of bounded size.  So no group is expanded into all pairs, and no link between
+different components is lost.
 
-*Verification* intersects the full sets of candidate pairs.
+*Verification*  first compares how many tokens fall in each of 128 ranges, which bounds how many differ from below,
+then intersects the full sets.
 
 Defined results: null and empty texts (and texts without a word) have an empty set and link with nothing; a text of
 fewer than k words is one shingle; repeated rows fall into one class; rows with a null id get null as their class id if
@@ -56,6 +57,10 @@ FILTER_BITS = 1 << 23
 #: Rows of two numbers that may be sent to every task; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 CACHE = 1 << 19
+#: Ranges of the coarse comparison.
+COARSE = 128
+#: A token is frequent if it is in so many documents, of those so many in one part of a task count; at most so many are told to tasks.
+FREQUENT, LOCAL, FREQUENT_TOKENS = 12, 3, 1 << 16
 USED, EXACT = 1, 2
 
 
@@ -84,8 +89,8 @@ def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
     n = max(1, len(w) - k + 1)
     h = np.full(n, min(len(w), k), _U)
     for i in range(min(k, len(w))):
-        h = _mix(h * _ODD[i % len(_ODD)] + w[i : i + n])
-    return np.unique(h)
+        h += w[i : i + n] * (_ODD[i % len(_ODD)] + _U(2 * (i // len(_ODD))))
+    return np.unique(_mix(h))
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -93,6 +98,18 @@ def set_id(tokens: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh64_digest(tokens.tobytes(), 5), "little", signed=True) & ~3
 
 
+def _among(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which tokens are in known (sorted)."""
+    if not len(known):
+        return np.zeros(len(tokens), bool)
+    return known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+
+
+def coarse_of(tokens: np.ndarray) -> bytes:
+    """How many tokens fall in each of COARSE ranges, 255 at most."""
+    return np.minimum(np.bincount((tokens >> _U(57)).astype(np.int64), minlength=COARSE), 255).astype(np.uint8).tobytes()
+
+
 class Band:
     """The segments for sets of at most hi tokens."""
 
@@ -100,7 +117,7 @@ class Band:
         self.differ = 2 * hi * (den - num) // (den + num)
         m = self.differ + 1
         per = (den + num) / (2 * (den - num))
-        self.spare = min(m // 2, 1 + round(1.5 * m * math.exp(-per))) if self.differ >= 2 else 0
+        self.spare = min(m // 4, 2 + round(1.5 * m * math.exp(-per)))
         units = m + self.spare
         edge = [2 * min(i, self.spare) + max(0, i - self.spare) for i in range(1, m)]
         self.inner = np.array([(e << 64) // units for e in edge], _U)
@@ -124,12 +141,13 @@ class Bands:
             self.bands[number] = Band(number, self.lows[number + 1] - 1, self.num, self.den)
         return self.bands[number]
 
-    def keys(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All keys of a set, and a mark for each: USED and EXACT, EXACT (left out by allocation), or 0 (a deletion)."""
         own = self.of(len(tokens))
         mixed = tokens * _U(0xD6E8FEB86659FD93)
         mixed ^= mixed >> _U(32)
         total = np.concatenate((np.zeros(1, _U), np.cumsum(mixed, dtype=_U)))
+        often = np.concatenate(([0], np.cumsum(_among(tokens, frequent))))
         keys, marks = [], []
         for number in (own, own + 1):
             band = self.get(number)
@@ -141,7 +159,8 @@ class Bands:
             d = band.spare
             if d:
                 size = at[d + 1 :] - at[d:-1]
-                mark[d + np.argpartition(size, min(d, len(size)) - 1)[:d]] = EXACT
+                cheap = (often[at[d + 1 :]] - often[at[d:-1]] < size).astype(np.int64)
+                mark[d + np.argsort((cheap << 32) + size, kind="stable")[:d]] = EXACT
                 seg = np.repeat(np.arange(d), at[1 : d + 1] - at[:d])
                 keys.append(_mix((sums[seg] - mixed[: at[d]]) + band.salt[seg]))
                 marks.append(np.zeros(len(seg), np.int64))
@@ -158,19 +177,40 @@ def _bands(num: int, den: int) -> Bands:
 
 
 def sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """id, th (a hash of the text), n (how many shingles) and sid (null for an empty set) of every document."""
+    """id, th (a hash of the text), n (how many shingles), sid (null for an empty set), coarse, and on one row of each
+    part the tokens that are frequent in it with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             held = [shingles(t, k, hashes) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in held], pa.int64()), pa.array([set_id(s) if len(s) else None for s in held], pa.int64())], names=["id", "th", "n", "sid"])
+            flat = np.sort(np.concatenate(held)) if held else np.zeros(0, _U)
+            start = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
+            count = np.diff(np.append(start, len(flat)))
+            often = count >= LOCAL
+            rest = [None] * (len(held) - 1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array([len(s) for s in held], pa.int64()), pa.array([set_id(s) if len(s) else None for s in held], pa.int64()), pa.array([coarse_of(s) for s in held], pa.binary()),
+                    pa.array([flat[start[often]].view(np.int64).tolist(), *rest] if held else [], pa.list_(pa.int64())), pa.array([count[often].tolist(), *rest] if held else [], pa.list_(pa.int64())),
+                ],
+                names=["id", "th", "n", "sid", "coarse", "often", "times"],
+            )
 
-    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, th long, n long, sid long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(run, f"id {kind}, th long, n long, sid long, coarse binary, often array<long>, times array<long>")
 
 
-def _packed_keys(docs: DataFrame, k: int, num: int, den: int, groups: int, id_col: str, text_col: str) -> DataFrame:
+def _frequent(base: DataFrame) -> np.ndarray:
+    """The most frequent tokens, sorted; FREQUENT_TOKENS at most."""
+    counts = base.filter("often IS NOT NULL").select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("c"))
+    top = counts.filter(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "often").limit(FREQUENT_TOKENS).select("often")
+    return np.sort(top.toArrow().column(0).to_numpy().view(_U))
+
+
+def _packed_keys(docs: DataFrame, k: int, num: int, den: int, groups: int, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """p, keys, ids: the keys of all sets (copies within a partition once), packed by group of the deal."""
+    told = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands, seen = WordHashes(), _bands(num, den), set()
@@ -182,7 +222,7 @@ def _packed_keys(docs: DataFrame, k: int, num: int, den: int, groups: int, id_co
                 if sid is None or sid in seen:
                     continue
                 seen.add(sid)
-                key, mark = bands.keys(tokens)
+                key, mark = bands.keys(tokens, told.value)
                 keys.append(key)
                 ids.append(sid | mark)
             key = np.concatenate(keys) if keys else np.zeros(0, _U)
@@ -200,7 +240,7 @@ def _packed_keys(docs: DataFrame, k: int, num: int, den: int, groups: int, id_co
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """One group of the deal: candidate pairs (many = false), and the members of keys that many sets share."""
+    """One group of the deal: candidate pairs (many = false), and each member of a key that many sets share with its pivot."""
     key = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32)
     ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
     p = table.column("p")[0].as_py()
@@ -221,24 +261,17 @@ def _meet(table: pa.Table) -> pa.Table:
                 ok = ((mark[x] | mark[y]) & USED) > 0
                 a.append(sid[x[ok]])
                 b.append(sid[y[ok]])
-    many_key, many_at = [], []
+    many = []
     for at, s in zip(start[(size > SMALL) & used].tolist(), size[(size > SMALL) & used].tolist()):
         rows = np.arange(at, at + s)
-        pivot = rows[(mark[rows] & USED) > 0][0]
-        rest = rows[rows != pivot]
-        a.append(np.minimum(sid[pivot], sid[rest]))
-        b.append(np.maximum(sid[pivot], sid[rest]))
-        many_key.append(np.full(s, p << 32 | int(key[at])))
-        many_at.append(rows)
-    pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), 1), axis=0) if a else np.zeros((0, 2), np.int64)
-    at = np.concatenate(many_at) if many_at else np.zeros(0, np.int64)
-    keys = np.concatenate(many_key) if many_key else np.zeros(0, np.int64)
-    return pa.table({
-        "many": pa.array(np.concatenate((np.zeros(len(pairs), bool), np.ones(len(at), bool)))),
-        "a": pa.array(np.concatenate((pairs[:, 0], sid[at]))),
-        "b": pa.array(np.concatenate((pairs[:, 1], keys))),
-        "used": pa.array(np.concatenate((np.ones(len(pairs), bool), (mark[at] & USED) > 0))),
-    })
+        pivot = sid[rows[(mark[rows] & USED) > 0][0]]
+        rest = sid[rows][sid[rows] != pivot]
+        a.append(np.minimum(pivot, rest))
+        b.append(np.maximum(pivot, rest))
+        many.append(np.stack((rest, np.full(len(rest), pivot)), 1))
+    pairs, stars = (np.unique(x, axis=0) for x in (np.stack((np.concatenate(a), np.concatenate(b)), 1) if a else np.zeros((0, 2), np.int64), np.concatenate(many) if many else np.zeros((0, 2), np.int64)))
+    both = np.concatenate((pairs, stars))
+    return pa.table({"many": pa.array(np.arange(len(both)) >= len(pairs)), "a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -293,37 +326,40 @@ def _verify(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFram
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _may_link(n_a: np.ndarray, n_b: np.ndarray, coarse_a: np.ndarray, coarse_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sizes and coarse counts leave room for a link; never false for linked sets."""
+    differ = np.abs(coarse_a.astype(np.int64) - coarse_b).sum(-1)
+    return (den * np.minimum(n_a, n_b) >= num * np.maximum(n_a, n_b)) & ((den + num) * differ <= (den - num) * (n_a + n_b))
+
+
+def _plausible(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, rep_a, rep_b of the pairs that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COARSE)
+        for batch in batches:
+            ok = _may_link(batch.column(4).to_numpy(), batch.column(5).to_numpy(), grid(batch.column(6)), grid(batch.column(7)), num, den)
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "rep_a", "rep_b"]).filter(pa.array(ok, pa.bool_()))
+
+    kind = pairs.schema["rep_a"].dataType.simpleString()
+    return pairs.select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "coarse_a", "coarse_b").mapInArrow(run, f"a long, b long, rep_a {kind}, rep_b {kind}")
+
+
 def _blocks(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
-        """One pair of blocks of a key's members: links between members of different components, enough to connect all
-        that are connected."""
-        comp = table.column("component").to_pylist()
-        used = np.array(table.column("used").to_pylist(), bool)
-        own = np.array(table.column("own").to_pylist(), np.int64)
-        held = [np.frombuffer(t, _U) for t in table.column("tokens").to_pylist()]
-        size = np.array([len(t) for t in held])
-        coarse = np.stack([np.bincount((t >> _U(58)).astype(np.int64), minlength=64) for t in held])
-        root = {c: c for c in comp}
-
-        def top(c):
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
+        """One pair of blocks of a pivot's members: pairs of different components that may link."""
+        sid, comp, n, own = (table.column(c).to_numpy() for c in ("sid", "component", "n", "own"))
+        coarse = np.frombuffer(b"".join(table.column("coarse").to_pylist()), np.uint8).reshape(-1, COARSE)
         two = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        out = []
-        for x in range(len(held)):
-            ok = (used | used[x]) & (den * np.minimum(size, size[x]) >= num * np.maximum(size, size[x]))
-            ok &= (den + num) * np.abs(coarse - coarse[x]).sum(1) <= (den - num) * (size + size[x])  # no fewer tokens differ
-            if two:
-                ok &= own != own[x]
-            ok[: x + 1] = False
-            for y in np.flatnonzero(ok).tolist():
-                a, b = top(comp[x]), top(comp[y])
-                if a != b and _linked(held[x], held[y], num, den):
-                    root[a] = b
-                    out.append((comp[x], comp[y]))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+        a, b = [], []
+        for x in range(len(sid) - 1):
+            y = np.arange(x + 1, len(sid))
+            y = y[(comp[y] != comp[x]) & ((own[y] != own[x]) | (not two))]
+            y = y[_may_link(n[x], n[y], coarse[x], coarse[y], num, den)]
+            a.append(np.minimum(sid[x], sid[y]))
+            b.append(np.maximum(sid[x], sid[y]))
+        whole = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
+        return pa.table({"a": whole(a), "b": whole(b)})
 
     return run
 
@@ -337,34 +373,33 @@ def classes(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id",
 def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     base = materialize(sets(docs, k, id_col, text_col))
-    reps = materialize(base.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n")))
+    reps = materialize(base.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.any_value("coarse").alias("coarse")))
     total = reps.agg(F.sum("n")).first()[0] or 0
     groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // GROUP_KEYS)
-    met = materialize(_packed_keys(docs, k, num, den, groups, id_col, text_col).groupBy("p").applyInArrow(_meet, "many boolean, a long, b long, used boolean"))
-    of = lambda c: reps.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("rep").alias(f"rep_{c}"))
-    pairs = met.filter("NOT many").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
-    pairs = materialize(pairs.filter(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")))
-    asked = pairs.select(F.col("rep_a").alias("i")).unionAll(pairs.select(F.col("rep_b").alias("i")))
-    tokens = materialize(_token_sets(docs, asked, k, id_col, text_col))
-    links = components(_verify(pairs.select("a", "b"), tokens, num, den))
-
-    members = met.filter("many").select(F.col("a").alias("sid"), F.col("b").alias("key"), "used")
+    keys = _packed_keys(docs, k, num, den, groups, _frequent(base), id_col, text_col)
+    met = materialize(keys.groupBy("p").applyInArrow(_meet, "many boolean, a long, b long"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        of = lambda c: reps.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "rep", "coarse")])
+        likely = materialize(_plausible(pairs.distinct().join(of("a"), "a").join(of("b"), "b"), num, den))
+        asked = likely.select(F.col("rep_a").alias("i")).unionAll(likely.select(F.col("rep_b").alias("i")))
+        return _verify(likely.select("a", "b"), materialize(_token_sets(docs, asked, k, id_col, text_col)), num, den)
+
+    links = components(linked(met.filter("NOT many").select("a", "b")))
+    members = met.filter("many").select(F.col("a").alias("sid"), F.col("b").alias("pivot")).distinct()
     members = members.join(links.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    apart = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("key", "size")
-    apart = materialize(members.join(apart, "key"))
-    if not apart.isEmpty():
-        more = apart.select("sid").distinct().join(reps, "sid").select("rep")
-        own = F.pmod(F.xxhash64("sid", "key"), F.ceil(F.col("size") / BLOCK))
-        rows = apart.withColumn("own", own).withColumn("other", F.explode(F.expr(f"sequence(0L, ceil(size / {BLOCK}) - 1)")))
-        rows = rows.select("key", "sid", "used", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        rows = rows.join(_token_sets(docs, more, k, id_col, text_col).dropDuplicates(["sid"]), "sid")
-        new = rows.groupBy("key", "i", "j").applyInArrow(_blocks(num, den), "a long, b long")
-        links = components(new.unionAll(links.select("node", "component")))
+    apart = members.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("pivot", "size")
+    rows = members.join(apart, "pivot").join(reps.select("sid", "n", "coarse"), "sid")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid", "pivot"), F.ceil(F.col("size") / BLOCK))).withColumn("other", F.explode(F.expr(f"sequence(0L, ceil(size / {BLOCK}) - 1)")))
+    rows = rows.select("pivot", "sid", "component", "n", "coarse", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    more = materialize(rows.groupBy("pivot", "i", "j").applyInArrow(_blocks(num, den), "a long, b long"))
+    if not more.isEmpty():
+        links = components(linked(more).unionAll(links.select("node", "component")))
     named = reps.join(links, reps["sid"] == links["node"], "left").select("sid", "rep", F.coalesce("component", "sid").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "c").select(F.col("sid").alias("s"), "component_id")
+    named = named.join(least, "c").select(F.col("sid").alias("s"), F.col("c").alias("class"), "component_id")
     out = base.join(named, F.col("sid") == F.col("s"), "left")
-    return out.select("id", "th", "n", "sid", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("id", "th", "n", "sid", "class", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,11 +407,11 @@ def keep_first(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_i
 
     Texts without words are no class and all stay, as do rows with a null id.
     """
-    found = materialize(_classes(docs, k, num, den, id_col, text_col).filter("sid IS NOT NULL AND id IS NOT NULL").select("id", "th", "component_id"))
-    least = found.groupBy("component_id").agg(F.min(F.struct("id", "th")).alias("least"))
-    go = materialize(found.join(least, "component_id").filter(F.struct("id", "th") != F.col("least")).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct())
+    found = materialize(_classes(docs, k, num, den, id_col, text_col).filter("sid IS NOT NULL AND id IS NOT NULL").select("id", "th", "class"))
+    least = found.groupBy("class").agg(F.min(F.struct("id", "th")).alias("least"))
+    go = materialize(found.join(least, "class").filter(F.struct("id", "th") != F.col("least")).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct())
     side = F.broadcast(go) if go.count() <= BROADCAST_ROWS else go
-    kept = docs.join(side, (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left_anti")
+    kept = docs.join(side, (docs[id_col] == side["_id"]) & (F.xxhash64(docs[text_col]) == side["_th"]), "left_anti")
     if found.groupBy("id", "th").count().filter("count > 1").isEmpty():
         return kept
     return kept.filter(F.col(id_col).isNull() | F.col(text_col).isNull()).unionAll(kept.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).dropDuplicates([id_col, text_col]))
