@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontaminate, jaccard, langid, pages, quality, sharding, simhash, toxicity
+from lodestone.llm import bpe, decontaminate, jaccard, langid, oracles, pages, quality, sharding, simhash, toxicity
 from lodestone.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -67,4 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {"op4_extendible_shards": sharding.oracle_sql(SHARD_BYTES, 24)}
+ORACLES: dict[str, str] = {
+    "op3_jaccard_classes": oracles.CLASSES,
+    "op4_extendible_shards": oracles.shards(SHARD_BYTES, 24),
+    "op10_decontaminate": oracles.HITS,
+}
