@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -45,3 +48,13 @@ def materialize(df: DataFrame) -> DataFrame:
 def schema_with(df: DataFrame, kept: list[str], extra: str) -> T.StructType:
     """The fields of df's columns kept, then those of a DDL string; any column name will do."""
     return T.StructType([*(df.schema[c] for c in kept), *T.StructType.fromDDL(extra)])
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """batch in parts of about size bytes of one text column, a row at least."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64())).to_numpy()
+    start = done = 0
+    for i, end in enumerate(ends.tolist()):
+        if end - done >= size or i == len(ends) - 1:
+            yield batch.slice(start, i + 1 - start)
+            start, done = i + 1, end

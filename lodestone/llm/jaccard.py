@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import materialize, slices
 from lodestone.llm.components import components
 
 _U = np.uint64
@@ -56,7 +56,9 @@ GROUP_KEYS = 1 << 20
 FILTER_BITS = 1 << 23
 #: Rows of two numbers that may be sent to every task; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
-CACHE = 1 << 19
+CACHE = 1 << 18
+#: Bytes of text that are hashed together.
+CHUNK = 1 << 22
 #: Ranges of the coarse comparison.
 COARSE = 128
 #: A token is frequent if it is in so many documents, of those so many in one part of a task count; at most so many are told to tasks.
@@ -182,7 +184,7 @@ def sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, 4 * CHUNK)):
             held = [shingles(t, k, hashes) for t in batch.column(2).to_pylist()]
             flat = np.sort(np.concatenate(held)) if held else np.zeros(0, _U)
             start = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
@@ -214,7 +216,7 @@ def _packed_keys(docs: DataFrame, k: int, num: int, den: int, groups: int, frequ
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands, seen = WordHashes(), _bands(num, den), set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, CHUNK)):
             keys, ids = [], []
             for t in batch.column(1).to_pylist():
                 tokens = shingles(t, k, hashes)
