@@ -27,17 +27,31 @@ def by_trace(spans: DataFrame, trace_id: str) -> DataFrame:
     return spans.filter(F.col("trace_id") == trace_id).orderBy("seq")
 
 
-def duration_stats(spans: DataFrame, keys: list[str]) -> DataFrame:
+def _before(counts: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
+    """counts (keys, order, c) with `before`, the sum of c over smaller values of order, and `all`, that over the keys.
+
+    Values are cut into buckets of a width: sums run within a bucket, and over one row a bucket, so that no group of keys
+    is sorted in one task.
+    """
+    cut = counts.withColumn("_b", F.expr(f"{order} div {width}"))
+    sums = cut.groupBy(*keys, "_b").agg(F.sum("c").alias("s"))
+    ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*[F.col(c).alias(f"k_{c}") for c in (*keys, "_b")], F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("ahead"), F.sum("s").over(Window.partitionBy(*keys)).alias("all"))
+    own = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    run = cut.withColumn("run", F.coalesce(F.sum("c").over(own), F.lit(0)))
+    both = run.join(carried, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in (*keys, "_b")]))
+    return both.select(*keys, order, "c", (F.col("ahead") + F.col("run")).alias("before"), "all")
+
+
+def duration_stats(spans: DataFrame, keys: list[str], width: int = 1_000_000) -> DataFrame:
     """avg, min, max and exact nearest-rank p50, p95, p99 of durations, by keys; 0 of nothing.
 
-    The ranks are read off running counts of distinct durations, so a group need not fit in one task's memory: only its
-    distinct durations are sorted, and those spill.
+    Ranks are read off running counts of distinct durations, in buckets of `width` nanoseconds.
     """
-    counts = spans.groupBy(*keys, "duration_ns").agg(F.count(F.lit(1)).alias("c")).filter("duration_ns IS NOT NULL")
-    w = Window.partitionBy(*keys).orderBy("duration_ns")
-    every = Window.partitionBy(*keys)
-    ranked = counts.withColumns({"upto": F.sum("c").over(w), "n": F.sum("c").over(every)})
-    rank = lambda p: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(p).cast("decimal(4,2)"))), F.col("duration_ns")))
+    counts = spans.filter("duration_ns IS NOT NULL").groupBy(*keys, "duration_ns").agg(F.count(F.lit(1)).alias("c"))
+    ranked = _before(counts, keys, "duration_ns", width)
+    upto = F.col("before") + F.col("c")
+    rank = lambda p: F.min(F.when(upto >= F.greatest(F.lit(1), F.ceil(F.col("all") * F.lit(p).cast("decimal(4,2)"))), F.col("duration_ns")))
     whole = F.sum(F.col("duration_ns").cast("decimal(38,0)") * F.col("c"))
     out = ranked.groupBy(*keys).agg((whole.cast("double") / F.sum("c")).alias("avg_ns"), F.min("duration_ns").alias("min_ns"), F.max("duration_ns").alias("max_ns"), rank(0.5).alias("p50_ns"), rank(0.95).alias("p95_ns"), rank(0.99).alias("p99_ns"))
     return out if keys else out.na.fill(0)
@@ -88,7 +102,7 @@ def anomalies_expanding(spans: DataFrame, k: float = 3, bucket_ns: int = 86_400_
     return both.withColumn("is_anomaly", _judged(n, t.cast("decimal(38,0)"), q.cast("decimal(38,0)"), F.col("duration_ns"), k)).select(*spans.columns, "is_anomaly")
 
 
-def anomalies_rolling(spans: DataFrame, k: float = 3, window: int = 100, chunk: int = 20_000) -> DataFrame:
+def anomalies_rolling(spans: DataFrame, k: float = 3, window: int = 100, chunk: int = 20_000, bucket_ns: int = 86_400_000_000_000) -> DataFrame:
     """spans with is_anomaly: judged by the last `window` spans of its operation.
 
     Operations are cut into chunks of about `chunk` rows; each chunk gets the window rows before it as context.
@@ -97,8 +111,7 @@ def anomalies_rolling(spans: DataFrame, k: float = 3, window: int = 100, chunk:
         raise ValueError("window must be at least 2")
     op = ["service_name", "name"]
     counts = spans.groupBy(*op, "start_ns").agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy(*op).orderBy("start_ns").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_i", F.coalesce(F.sum("c").over(order), F.lit(0))).select(*[F.col(c).alias(f"k_{c}") for c in (*op, "start_ns")], "_i")
+    starts = _before(counts, op, "start_ns", bucket_ns).select(*[F.col(c).alias(f"k_{c}") for c in (*op, "start_ns")], F.col("before").alias("_i"))
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in (*op, "start_ns")])
     # a row's place, but for spans that start together, which take the place of their first
     placed = spans.join(starts, on).withColumn("_c", F.expr(f"_i div {chunk}"))
@@ -170,8 +183,8 @@ def flame_layout(nodes: DataFrame, width: float, row_height: float) -> DataFrame
 def map_layout(nodes: DataFrame, width: float, height: float) -> DataFrame:
     """service_name, x, y: services in order on a circle from twelve o'clock on; a single one in the middle."""
     w = Window.orderBy("first_seq")
-    n = nodes.agg(F.count(F.lit(1)).alias("n"))
-    placed = nodes.withColumn("i", F.row_number().over(w) - 1).crossJoin(F.broadcast(n))  # one row a service
+    # one row a service: few enough for one task
+    placed = nodes.withColumns({"i": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy())})
     r = 0.4 * min(width, height)
     angle = F.col("i") / F.col("n") * F.lit(2 * math.pi) - F.lit(math.pi / 2)
     at = lambda mid, f: F.when(F.col("n") == 1, F.lit(mid)).otherwise(F.lit(mid) + F.lit(r) * f(angle))
@@ -188,5 +201,3 @@ def map_lines(edges: DataFrame, layout: DataFrame) -> DataFrame:
 def serialized(spans: DataFrame) -> DataFrame:
     """Nanosecond fields as decimal text."""
     return spans.withColumns({c: F.col(c).cast("string") for c in ("start_ns", "end_ns", "duration_ns", "start_offset_ns") if c in spans.columns})
-
-
