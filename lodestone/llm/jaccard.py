@@ -21,8 +21,8 @@ After the first components are known, pivots whose members all fell into one com
 different components are compared in blocks of bounded size.  So no group is expanded into all pairs, and no link between
 different components is lost.
 
-*Verification*  first compares how many tokens fall in each of 128 ranges, which bounds how many differ from below,
-then intersects the full sets.
+*Verification* first compares how many tokens fall in each of 128 ranges, then the parities of how many tokens fall in
+each of four or more buckets a token; both bound from below how many tokens differ.  What is left intersects full sets.
 
 Defined results: null and empty texts (and texts without a word) have an empty set and link with nothing; a text of
 fewer than k words is one shingle; repeated rows fall into one class; rows with a null id get null as their class id if
@@ -112,6 +112,27 @@ def coarse_of(tokens: np.ndarray) -> bytes:
     return np.minimum(np.bincount((tokens >> _U(57)).astype(np.int64), minlength=COARSE), 255).astype(np.uint8).tobytes()
 
 
+def parity_of(tokens: np.ndarray) -> bytes:
+    """For each of at least four buckets a token (a power of two): whether an odd number of tokens falls in it."""
+    bits = max(64, 1 << (4 * len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount((tokens & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """The parities over half as many buckets (of one set, or a row each)."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
+
+
+def _odd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many parities differ: no more than tokens do. a: one set; b: one set, or a row each."""
+    while a.shape[-1] > b.shape[-1]:
+        a = _folded(a)
+    while b.shape[-1] > a.shape[-1]:
+        b = _folded(b)
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
 class Band:
     """The segments for sets of at most hi tokens."""
 
@@ -179,7 +200,7 @@ def _bands(num: int, den: int) -> Bands:
 
 
 def sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """id, th (a hash of the text), n (how many shingles), sid (null for an empty set), coarse, and on one row of each
+    """id, th (a hash of the text), n (how many shingles), sid (null for an empty set), coarse, parity, and on one row of each
     part the tokens that are frequent in it with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,14 +214,14 @@ def sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
             rest = [None] * (len(held) - 1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array([len(s) for s in held], pa.int64()), pa.array([set_id(s) if len(s) else None for s in held], pa.int64()), pa.array([coarse_of(s) for s in held], pa.binary()),
+                    batch.column(0), batch.column(1), pa.array([len(s) for s in held], pa.int64()), pa.array([set_id(s) if len(s) else None for s in held], pa.int64()), pa.array([coarse_of(s) for s in held], pa.binary()), pa.array([parity_of(s) for s in held], pa.binary()),
                     pa.array([flat[start[often]].view(np.int64).tolist(), *rest] if held else [], pa.list_(pa.int64())), pa.array([count[often].tolist(), *rest] if held else [], pa.list_(pa.int64())),
                 ],
-                names=["id", "th", "n", "sid", "coarse", "often", "times"],
+                names=["id", "th", "n", "sid", "coarse", "parity", "often", "times"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(run, f"id {kind}, th long, n long, sid long, coarse binary, often array<long>, times array<long>")
+    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(run, f"id {kind}, th long, n long, sid long, coarse binary, parity binary, often array<long>, times array<long>")
 
 
 def _frequent(base: DataFrame) -> np.ndarray:
@@ -347,17 +368,42 @@ def _plausible(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "coarse_a", "coarse_b").mapInArrow(run, f"a long, b long, rep_a {kind}, rep_b {kind}")
 
 
+def _close(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, rep_a, rep_b of the pairs that may link by their parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = lambda c: [np.frombuffer(x, _U) for x in c.to_pylist()]
+        for batch in batches:
+            odd = np.array([_odd(x, y) for x, y in zip(words(batch.column(6)), words(batch.column(7)))], np.int64)
+            ok = (den + num) * odd <= (den - num) * (batch.column(4).to_numpy() + batch.column(5).to_numpy())
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "rep_a", "rep_b"]).filter(pa.array(ok, pa.bool_()))
+
+    kind = pairs.schema["rep_a"].dataType.simpleString()
+    return pairs.select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, f"a long, b long, rep_a {kind}, rep_b {kind}")
+
+
 def _blocks(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         """One pair of blocks of a pivot's members: pairs of different components that may link."""
         sid, comp, n, own = (table.column(c).to_numpy() for c in ("sid", "component", "n", "own"))
         coarse = np.frombuffer(b"".join(table.column("coarse").to_pylist()), np.uint8).reshape(-1, COARSE)
+        parity = [np.frombuffer(x, _U) for x in table.column("parity").to_pylist()]
+        width = np.array([len(x) for x in parity])
+        place, grids = np.zeros(len(sid), np.int64), {}
+        for w in np.unique(width).tolist():
+            rows = np.flatnonzero(width == w)
+            place[rows], grids[w] = np.arange(len(rows)), np.stack([parity[r] for r in rows])
         two = table.column("i")[0].as_py() != table.column("j")[0].as_py()
         a, b = [], []
         for x in range(len(sid) - 1):
             y = np.arange(x + 1, len(sid))
             y = y[(comp[y] != comp[x]) & ((own[y] != own[x]) | (not two))]
             y = y[_may_link(n[x], n[y], coarse[x], coarse[y], num, den)]
+            odd = np.zeros(len(y), np.int64)
+            for w in np.unique(width[y]).tolist():
+                own_w = width[y] == w
+                odd[own_w] = _odd(parity[x], grids[w][place[y[own_w]]])
+            y = y[(den + num) * odd <= (den - num) * (n[x] + n[y])]
             a.append(np.minimum(sid[x], sid[y]))
             b.append(np.maximum(sid[x], sid[y]))
         whole = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
@@ -375,28 +421,33 @@ def classes(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id",
 def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     base = materialize(sets(docs, k, id_col, text_col))
-    reps = materialize(base.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.any_value("coarse").alias("coarse")))
+    reps = materialize(base.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.any_value("coarse").alias("coarse"), F.any_value("parity").alias("parity")))
     total = reps.agg(F.sum("n")).first()[0] or 0
     groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // GROUP_KEYS)
     keys = _packed_keys(docs, k, num, den, groups, _frequent(base), id_col, text_col)
     met = materialize(keys.groupBy("p").applyInArrow(_meet, "many boolean, a long, b long"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        of = lambda c: reps.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "rep", "coarse")])
-        likely = materialize(_plausible(pairs.distinct().join(of("a"), "a").join(of("b"), "b"), num, den))
-        asked = likely.select(F.col("rep_a").alias("i")).unionAll(likely.select(F.col("rep_b").alias("i")))
-        return _verify(likely.select("a", "b"), materialize(_token_sets(docs, asked, k, id_col, text_col)), num, den)
+    def of(c: str, *columns: str) -> DataFrame:
+        return reps.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("rep_a").alias("i")).unionAll(pairs.select(F.col("rep_b").alias("i")))
+        return _verify(pairs.select("a", "b"), materialize(_token_sets(docs, asked, k, id_col, text_col)), num, den)
 
-    links = components(linked(met.filter("NOT many").select("a", "b")))
+    pairs = met.filter("NOT many").select("a", "b").distinct()
+    likely = materialize(_plausible(pairs.join(of("a", "n", "rep", "coarse"), "a").join(of("b", "n", "rep", "coarse"), "b"), num, den))
+    close = materialize(_close(likely.join(of("a", "n", "parity"), "a").join(of("b", "n", "parity"), "b"), num, den))
+    links = components(verified(close))
     members = met.filter("many").select(F.col("a").alias("sid"), F.col("b").alias("pivot")).distinct()
     members = members.join(links.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     apart = members.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("pivot", "size")
-    rows = members.join(apart, "pivot").join(reps.select("sid", "n", "coarse"), "sid")
+    rows = members.join(apart, "pivot").join(reps.select("sid", "n", "coarse", "parity"), "sid")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("sid", "pivot"), F.ceil(F.col("size") / BLOCK))).withColumn("other", F.explode(F.expr(f"sequence(0L, ceil(size / {BLOCK}) - 1)")))
-    rows = rows.select("pivot", "sid", "component", "n", "coarse", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.select("pivot", "sid", "component", "n", "coarse", "parity", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     more = materialize(rows.groupBy("pivot", "i", "j").applyInArrow(_blocks(num, den), "a long, b long"))
     if not more.isEmpty():
-        links = components(linked(more).unionAll(links.select("node", "component")))
+        more = materialize(more.distinct().join(of("a", "rep"), "a").join(of("b", "rep"), "b"))
+        links = components(verified(more).unionAll(links.select("node", "component")))
     named = reps.join(links, reps["sid"] == links["node"], "left").select("sid", "rep", F.coalesce("component", "sid").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "c").select(F.col("sid").alias("s"), F.col("c").alias("class"), "component_id")
