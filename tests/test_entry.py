@@ -31,7 +31,7 @@ def test_without_optional_part(tmp_path):
     shutil.copy(REPO / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; print(len(e.queries()), [n for n in e.queries() if n.startswith('op') or n == 'pipeline'])"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True).stdout
-    assert "['otlp_round_trip']" in out
+    assert out.strip().endswith("[]") and int(out.split()[0]) > 40
 
 
 @pytest.fixture(scope="module")
