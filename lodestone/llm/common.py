@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.session import ship
@@ -58,3 +59,16 @@ def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordB
         if end - done >= size or i == len(ends) - 1:
             yield batch.slice(start, i + 1 - start)
             start, done = i + 1, end
+
+
+def sample_per_label(known: DataFrame, label: str, key: str, per: int, labels: int = 256) -> DataFrame:
+    """Of each of the most frequent labels (`labels` at most): the `per` rows of smallest key hash.
+
+    A threshold on the hash, from the label's count, first leaves about twice as many, so a frequent label is never
+    ranked as a whole.
+    """
+    counts = known.groupBy(F.col(label).alias("_y")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_y").limit(labels)
+    h = F.xxhash64(key, F.lit(2))
+    near = known.join(F.broadcast(counts), F.col(label) == F.col("_y")).filter(F.pmod(h, F.lit(1 << 40)) * F.col("_n").cast("decimal(20,0)") < F.lit((2 * per + 20) << 40).cast("decimal(38,0)"))
+    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("_y").orderBy(F.pmod(h, F.lit(1 << 40)), key)))
+    return ranked.filter(F.col("_r") <= per).select(*known.columns)

@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import schema_with
+from lodestone.llm.common import sample_per_label, schema_with
 from lodestone.llm.quality import fold
 
 WINDOW = 256
@@ -139,9 +139,8 @@ def windows_of(raw: bytes, most: int) -> list[bytes]:
 
 def train(docs: DataFrame, label_col: str = "lang", per_language: int = PER_LANGUAGE, windows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> Network | None:
     """Fits a network on a bounded sample of the labelled rows of docs; None without any."""
-    known = docs.select(F.col(id_col).alias("k"), F.col(label_col).alias("y"), F.xxhash64(id_col).alias("h")).filter("k IS NOT NULL AND y IS NOT NULL")
-    ranked = known.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "k"))).filter(F.col("r") <= per_language)
-    chosen = ranked.orderBy("r", "y").limit(per_language * LANGUAGES).select("k").distinct()
+    known = docs.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).filter("k IS NOT NULL AND y IS NOT NULL")
+    chosen = sample_per_label(known, "y", "k", per_language, LANGUAGES).select("k").distinct()
     texts = docs.select(F.col(id_col).alias("k"), F.col(label_col).alias("y"), F.col(text_col).alias("t")).filter("y IS NOT NULL AND t IS NOT NULL").join(F.broadcast(chosen), "k", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
