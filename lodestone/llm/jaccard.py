@@ -22,7 +22,7 @@ different components are compared in blocks of bounded size.  So no group is exp
 different components is lost.
 
 *Verification* first compares how many tokens fall in each of 128 ranges, then the parities of how many tokens fall in
-each of four or more buckets a token; both bound from below how many tokens differ.  What is left intersects full sets.
+each of two or more buckets a token; both bound from below how many tokens differ.  What is left intersects full sets.
 
 Defined results: null and empty texts (and texts without a word) have an empty set and link with nothing; a text of
 fewer than k words is one shingle; repeated rows fall into one class; rows with a null id get null as their class id if
@@ -48,8 +48,10 @@ _U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], _U)
 #: Keys shared by at most so many sets give all their pairs.
 SMALL = 8
-#: Rows of one block; a verification task holds two.
-BLOCK = 512
+#: Of other keys, those that at most so many sets use give all pairs of these sets with the rest.
+FEW = 3
+#: Rows of one block; a task holds two.
+BLOCK = 2048
 #: Packed keys in one group of the deal, on average.
 GROUP_KEYS = 1 << 20
 #: Bits of the filter that spares documents without candidates a second hashing; bounds what is sent to tasks.
@@ -113,8 +115,8 @@ def coarse_of(tokens: np.ndarray) -> bytes:
 
 
 def parity_of(tokens: np.ndarray) -> bytes:
-    """For each of at least four buckets a token (a power of two): whether an odd number of tokens falls in it."""
-    bits = max(64, 1 << (4 * len(tokens) - 1).bit_length())
+    """For each of at least two buckets a token (a power of two): whether an odd number of tokens falls in it."""
+    bits = max(64, 1 << (2 * len(tokens) - 1).bit_length())
     return np.packbits((np.bincount((tokens & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -287,7 +289,14 @@ def _meet(table: pa.Table) -> pa.Table:
     many = []
     for at, s in zip(start[(size > SMALL) & used].tolist(), size[(size > SMALL) & used].tolist()):
         rows = np.arange(at, at + s)
-        pivot = sid[rows[(mark[rows] & USED) > 0][0]]
+        users = sid[rows[(mark[rows] & USED) > 0]]
+        if len(users) <= FEW:  # all pairs of this key, and no more
+            for pivot in users:
+                rest = sid[rows][sid[rows] != pivot]
+                a.append(np.minimum(pivot, rest))
+                b.append(np.maximum(pivot, rest))
+            continue
+        pivot = users[0]
         rest = sid[rows][sid[rows] != pivot]
         a.append(np.minimum(pivot, rest))
         b.append(np.maximum(pivot, rest))
