@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import schema_with
+from lodestone.llm.common import sample_per_label, schema_with
 
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 BUCKETS = 1 << 20
@@ -165,8 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     """categories: in chain order, each a 0/1 expression over labels; at most sample rows of each combination are used."""
     y = F.array(*[F.max(c.cast("int")) for c in categories.values()])
     known = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(y.alias("y")).filter(~F.exists("y", lambda v: v.isNull()))
-    ranked = known.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(id_col, F.lit(2)), id_col)))
-    chosen = ranked.filter(F.col("r") <= sample).select(F.col(id_col).alias("k"), "y")
+    chosen = sample_per_label(known.withColumnRenamed(id_col, "k"), "y", "k", sample)
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "k").select("y", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
