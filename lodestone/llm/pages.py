@@ -2,8 +2,8 @@
 
 A page is read as tokens: each block-level tag with its path of enclosing tags, and each text block with its path.  For
 every host, a token's occurrence vector says how often it stands on each page; vectors are summed up as one hash (the
-exclusive or of a hash of page and count), so the whole host never meets in one place.  Tokens of equal vectors form a
-class.  A class is valid if it holds for enough pages and has enough tokens; the class of what stands once on every page
+exclusive or of a hash of page and count), so the whole host never meets in one place.  Rows of equal html on a host
+count as one page.  Tokens of equal vectors form a class.  A class is valid if it holds for enough pages and has enough tokens; the class of what stands once on every page
 is the root, and other valid classes nest in it where the path of their tags lies below a template tag.  Together they
 are the host's template: tags bound its slots, text in it is constant.  What remains of a page is the content of its
 slots.  Slots inside tags that are boilerplate by kind or by their class, id or role go; if slots lie in an article (or
@@ -151,36 +151,30 @@ def host_of(url: str | None) -> str:
     return (url or "").partition("://")[2].partition("/")[0].partition("?")[0].partition("#")[0].lower()
 
 
-def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host and the tokens of its template, for each host that has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[tuple[str, int], list[int]] = {}
-            for page, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            held: dict[tuple[str, bytes], Counter] = {}
+            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 host = host_of(url)
                 if not host:
                     continue
-                counts = _tokens(html or "")
-                counts[0] = 1  # stands once on every page
-                name = f"{page} {url}"
-                marks: dict[int, int] = {}
-                for token, n in counts.items():
-                    mark = marks.get(n)
-                    if mark is None:
-                        marks[n] = mark = _hash(name, n)
-                    row = held.setdefault((host, token), [0, 0, 0])
-                    row[0] += 1
-                    row[1] ^= mark
-                    row[2] = max(row[2], n)
+                key = (host, xxhash.xxh3_128_digest((html or "").encode("utf-8", "surrogatepass")))
+                if key not in held:
+                    held[key] = _tokens(html or "")
+                    held[key][0] = 1  # stands once on every page
             keys, rows = [*held], [*held.values()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())],
-                names=["host", "token", "pages", "vector"],
+                [pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.binary()), pa.array([[*r] for r in rows], pa.list_(pa.int64())), pa.array([[*r.values()] for r in rows], pa.list_(pa.int64()))],
+                names=["host", "page", "tokens", "counts"],
             )
 
-    parts = pages.select(id_col, url_col, html_col).mapInArrow(run, "host string, token long, pages long, vector long")
-    tokens = parts.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"))
+    read_once = pages.select(url_col, html_col).mapInArrow(run, "host string, page binary, tokens array<long>, counts array<long>")
+    # rows of equal html on a host are one page: copies give no support
+    each = read_once.dropDuplicates(["host", "page"]).select("host", "page", F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
+    tokens = each.groupBy("host", F.col("t.tokens").alias("token")).agg(F.count(F.lit(1)).alias("pages"), F.bit_xor(F.xxhash64("page", "t.counts")).alias("vector"))
     tokens = materialize(tokens.filter(F.col("pages") >= MIN_PAGES))
     hosts = tokens.filter("token = 0").select("host", F.col("pages").alias("all"))
     often = tokens.join(hosts, "host").filter(F.col("pages") >= MIN_SHARE * F.col("all"))
@@ -207,7 +201,7 @@ def main_text(html: str | None, template: frozenset[int]) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text and n_chars of every page."""
-    made = materialize(templates(pages, id_col, url_col, html_col))
+    made = materialize(templates(pages, url_col, html_col))
     total = made.agg(F.sum(F.size("template"))).first()[0] or 0
     host = F.lower(F.regexp_extract(F.col(url_col), r"://([^/?#]*)", 1))
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.coalesce(host, F.lit("")).alias("h"))

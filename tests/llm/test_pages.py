@@ -70,3 +70,23 @@ def test_joined_template(spark, monkeypatch):
     rows = [(i, "https://h2.example/", page(rng, b, shape=2), None, None, None) for i, b in bodies.items()]
     got = {r.page_id: r.text for r in P.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: want(b, 2) for i, b in bodies.items()}
+
+
+def test_copies_are_one_page(spark):
+    rng = random.Random(3)
+    body = [words(rng, 12) for _ in range(3)]
+    rows = [(5, "http://same/1", "<p>again</p>", None, None, None)] * 12
+    rows += [(100 + i, f"https://h2.example/{i}", page(rng, body, shape=2), None, None, None) for i in range(13)]  # under other ids and urls
+    rows += [(7, "http://one/1", "<h1>title</h1><div>text</div>", None, None, None)] * 9 + [(8, "http://one/2", "<h1>other</h1><ul><li>x</ul>", None, None, None)]
+    got = sorted((r.page_id, r.text) for r in P.extract(spark.createDataFrame(rows, SCHEMA)).collect())
+    copied = "\n".join(["Share this", *(" ".join(b.split()) for b in body)])
+    assert got == [(5, "again")] * 12 + [(7, "title\ntext")] * 9 + [(8, "other\nx")] + [(100 + i, copied) for i in range(13)]
+
+
+def test_template_beside_copies(spark):
+    rng = random.Random(4)
+    bodies = {i: [words(rng, 12) for _ in range(3)] for i in range(20)}
+    rows = [(i, "https://h2.example/", page(rng, b, shape=2), None, None, None) for i, b in bodies.items()]
+    rows += rows[:1] * 40
+    got = {(r.page_id, r.text) for r in P.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(i, want(b, 2)) for i, b in bodies.items()}
