@@ -105,19 +105,24 @@ def anomalies_expanding(spans: DataFrame, k: float = 3, bucket_ns: int = 86_400_
 def anomalies_rolling(spans: DataFrame, k: float = 3, window: int = 100, chunk: int = 20_000, bucket_ns: int = 86_400_000_000_000) -> DataFrame:
     """spans with is_anomaly: judged by the last `window` spans of its operation.
 
-    Operations are cut into chunks of about `chunk` rows; each chunk gets the window rows before it as context.
+    Operations are cut into chunks of `chunk` rows (`window` at least); each chunk gets the window rows before it as context.
     """
     if window < 2:
         raise ValueError("window must be at least 2")
     op = ["service_name", "name"]
-    counts = spans.groupBy(*op, "start_ns").agg(F.count(F.lit(1)).alias("c"))
-    starts = _before(counts, op, "start_ns", bucket_ns).select(*[F.col(c).alias(f"k_{c}") for c in (*op, "start_ns")], F.col("before").alias("_i"))
-    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in (*op, "start_ns")])
-    # a row's place, but for spans that start together, which take the place of their first
-    placed = spans.join(starts, on).withColumn("_c", F.expr(f"_i div {chunk}"))
-    # ties at a chunk's end stay in one chunk, so the context is the rows whose place is in the last `window` and their ties
+    chunk = max(chunk, window)
+    # each row has a place of its own: rows before its start, before its range of seq among spans that start together, and in it
+    cut = spans.withColumn("_s", F.expr(f"seq div {chunk}"))
+    tied = cut.groupBy(*op, "start_ns", "_s").agg(F.count(F.lit(1)).alias("c"))
+    starts = _before(tied.groupBy(*op, "start_ns").agg(F.sum("c").alias("c")), op, "start_ns", bucket_ns).select(*[F.col(c).alias(f"f_{c}") for c in (*op, "start_ns")], "before")
+    ahead = Window.partitionBy(*op, "start_ns").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    on = lambda mark, keys: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{mark}_{c}")) for c in keys])
+    parts = tied.withColumn("ahead", F.coalesce(F.sum("c").over(ahead), F.lit(0))).join(starts, on("f", (*op, "start_ns")))
+    firsts = parts.select(*[F.col(c).alias(f"k_{c}") for c in (*op, "start_ns", "_s")], (F.col("before") + F.col("ahead")).alias("_first"))
+    own = Window.partitionBy(*op, "start_ns", "_s").orderBy("seq", "duration_ns")
+    placed = cut.join(firsts, on("k", (*op, "start_ns", "_s"))).withColumn("_i", F.col("_first") + F.row_number().over(own) - 1).withColumn("_c", F.expr(f"_i div {chunk}"))
     near = placed.withColumn("_c", F.explode(F.when(F.col("_i") % chunk >= chunk - window, F.array(F.col("_c"), F.col("_c") + 1)).otherwise(F.array(F.col("_c")))))
-    w = Window.partitionBy(*op, "_c").orderBy("start_ns", "seq").rowsBetween(-window, -1)
+    w = Window.partitionBy(*op, "_c").orderBy("_i").rowsBetween(-window, -1)
     d = F.col("duration_ns").cast("decimal(38,0)")
     judged = near.withColumn("is_anomaly", _judged(F.count(d).over(w), F.sum(d).over(w).cast("decimal(38,0)"), F.sum((d * d).cast("decimal(38,0)")).over(w).cast("decimal(38,0)"), F.col("duration_ns"), k))
     return judged.filter(F.expr(f"_c = _i div {chunk}")).select(*spans.columns, "is_anomaly")

@@ -63,6 +63,19 @@ def test_anomalies(spark):
         S.anomalies_rolling(s, 3, 1)
 
 
+def test_rolling_ties(spark):
+    # spans that start together, more of them than window and chunk, over several chunks, then single ones
+    starts = [0] * 17 + [1] * 2 + [2] * 45 + list(range(3, 20)) + [30] * 8
+    values = [(i * 37) % 11 + (500 if i % 13 == 0 else 0) for i in range(len(starts))]
+    s = make(spark, [{"start": EPOCH + a * 50, "ns": v} for a, v in zip(starts, values)]).repartition(3)
+    for window, chunk in ((5, 7), (3, 10), (2, 2), (9, 4)):
+        got = [r.is_anomaly for r in S.anomalies_rolling(s, 1.5, window, chunk).orderBy("seq").collect()]
+        assert got == [plain_anomaly(values[max(0, i - window) : i], v, 1.5) for i, v in enumerate(values)], (window, chunk)
+    again = make(spark, [{"start": EPOCH, "ns": 5}] * 30 + [{"start": EPOCH + 1, "ns": 9}]).withColumn("seq", F.when(F.col("seq") == 30, 1).otherwise(0))
+    got = S.anomalies_rolling(again, 3, 4, 8).collect()
+    assert len(got) == 31 and [r.duration_ns for r in got if r.is_anomaly] == [9]
+
+
 def plain_depths(rows):
     up = {r["span"]: r.get("up") for r in rows}
 
