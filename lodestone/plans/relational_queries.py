@@ -166,6 +166,14 @@ def sort_multi(t):
     return top.withColumn("place", F.row_number().over(Window.orderBy(S.ascending(col("o_orderkey")), S.descending(col("c_custkey")))).cast("bigint"))
 
 
+@query("SELECT c_custkey, o_orderkey, CASE WHEN o_totalprice > 300000 THEN o_totalprice END AS large FROM customer LEFT JOIN orders ON c_custkey = o_custkey ORDER BY large ASC NULLS LAST, c_custkey DESC, o_orderkey ASC NULLS LAST")
+def sort_multi_all(t):
+    # the whole join, sorted: Spark cuts it into ranges, so no task sorts it all
+    j = R.join(t("customer", "c_custkey"), t("orders", "o_orderkey", "o_custkey", "o_totalprice"), col("c_custkey") == col("o_custkey"), "left")
+    rows = j.select("c_custkey", "o_orderkey", F.when(col("o_totalprice") > 300000, col("o_totalprice")).alias("large"))
+    return rows.orderBy(S.ascending(col("large")), S.descending(col("c_custkey")), S.ascending(col("o_orderkey")))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 def topk(t):
     return R.limit(R.sort_stable(t("orders", "o_orderkey", "o_totalprice"), [S.descending(col("o_totalprice"))], "o_orderkey"), 10)

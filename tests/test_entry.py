@@ -54,3 +54,11 @@ def test_against_sql(spark, base, name):
     df = entry.queries()[name](spark, DATA)
     got = base.execute(entry.oracle_sql()[name])
     assert _rows([tuple(r) for r in df.collect()], df.columns) == _rows(got.fetchall(), [c[0] for c in got.description])
+
+
+@needs_data
+def test_whole_sort_in_order(spark, base):
+    got = [tuple(r) for r in entry.queries()["sort_multi_all"](spark, DATA).collect()]
+    assert got == base.execute(entry.oracle_sql()["sort_multi_all"]).fetchall()
+    assert len(got) >= base.execute("SELECT count(*) FROM orders").fetchone()[0]
+    assert got[0][2] is not None and got[-1][2] is None
