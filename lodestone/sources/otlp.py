@@ -74,7 +74,8 @@ def flatten(payloads: DataFrame, id_col: str = "payload_id", json_col: str = "js
 def build(spans: DataFrame, per_payload: int = 10_000) -> DataFrame:
     """service_name, part and json: payloads of one service each, of about per_payload spans, in seq order.
 
-    Spans are dealt to parts by a hash of their trace, so a busy service makes many payloads, not one.
+    Spans are dealt to parts by a hash of span_id and seq, so a busy service makes many payloads, not one, and so does a
+    busy trace: a payload need not hold a whole trace.
     """
     none = lambda kind: F.lit(None).cast(kind)
     kv = F.transform(F.map_entries("attributes"), lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"]["s"].alias("stringValue"), e["value"]["b"].alias("boolValue"), e["value"]["n"].alias("doubleValue"), none("string").alias("intValue")).alias("value")))
@@ -84,7 +85,7 @@ def build(spans: DataFrame, per_payload: int = 10_000) -> DataFrame:
         F.col("end_ns").cast("string").alias("endTimeUnixNano"), kv.alias("attributes"), F.struct(code.alias("code")).alias("status"),
     )
     sizes = spans.groupBy(F.col("service_name").alias("s_name")).agg(F.ceil(F.count(F.lit(1)) / per_payload).alias("parts"))
-    dealt = spans.join(sizes, F.col("service_name") == F.col("s_name")).withColumn("part", F.pmod(F.xxhash64("trace_id"), "parts"))
+    dealt = spans.join(sizes, F.col("service_name") == F.col("s_name")).withColumn("part", F.pmod(F.xxhash64("span_id", "seq"), "parts"))
     held = dealt.groupBy("service_name", "part").agg(F.transform(F.array_sort(F.collect_list(span)), lambda s: s.dropFields("seq")).alias("spans"))
     text = F.struct(F.col("service_name").alias("stringValue"))
     resource = F.struct(F.array(F.struct(F.lit("service.name").alias("key"), text.alias("value"))).alias("attributes"))

@@ -163,6 +163,13 @@ def test_payload_round_trip(spark):
     assert {r.span_id: {k: tuple(v) for k, v in r.attributes.items()} for r in back.collect()} == {r.span_id: {k: tuple(v) for k, v in r.attributes.items()} for r in s.collect()}
 
 
+def test_busy_trace_makes_many_payloads(spark):
+    s = make(spark, [{"trace": "hot"} for _ in range(2000)] + [{"trace": f"t{i}"} for i in range(1000)])
+    built = otlp.build(s, per_payload=100)
+    sizes = [r.json.count('"traceId"') for r in built.collect()]
+    assert sum(sizes) == 3000 and len(sizes) == 30 and max(sizes) < 200
+
+
 def test_serialized(spark):
     assert S.serialized(make(spark, [{"start": EPOCH}])).first().start_ns == str(EPOCH)
     assert S.by_trace(make(spark, [{}, {"trace": "u"}]), "u").count() == 1
