@@ -3,11 +3,12 @@
 A page is read as tokens: each block-level tag with its path of enclosing tags, and each text block with its path.  For
 every host, a token's occurrence vector says how often it stands on each page; vectors are summed up as one hash (the
 exclusive or of a hash of page and count), so the whole host never meets in one place.  Rows of equal html on a host
-count as one page.  Tokens of equal vectors form a class.  A class is valid if it holds for enough pages and has enough tokens; the class of what stands once on every page
-is the root, and other valid classes nest in it where the path of their tags lies below a template tag.  Together they
-are the host's template: tags bound its slots, text in it is constant.  What remains of a page is the content of its
-slots.  Slots inside tags that are boilerplate by kind or by their class, id or role go; if slots lie in an article (or
-main) tag, the others go too.  Hosts with few pages have no template and are read by their tags alone.
+count as one page.  Tokens of equal vectors form a class.  A class is valid if it holds for enough pages and has enough
+tokens.  The tokens of all valid classes together are the host's template, one flat set: text in it, under a tag in it,
+is constant and goes.  Classes are not nested, and no statistics of a slot decide whether it is content.  Fixed rules do: what stands in tags that are boilerplate by kind or
+by their class, id or role goes; if text stands in an article (or main) tag, text outside goes too.  So boilerplate in
+neutral tags whose text varies from page to page stays, on hosts without article or main tags.  Hosts with few pages
+have no template and are read by their tags alone.
 
 Defined results: null and empty html give '' and 0; a page without main text gives ''; repeated rows each get a row;
 a null url is a host of its own without a template; an empty table gives an empty table; other input columns are ignored.
