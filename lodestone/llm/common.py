@@ -32,18 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, keeps column pruning.
-
-    The files go when the driver's JVM ends.
-    """
+def written(df: DataFrame, *by: str) -> str:
+    """Writes df to the shared folder, in a folder a value of `by`; its path. The files go when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, keeps column pruning."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
 
 
 def schema_with(df: DataFrame, kept: list[str], extra: str) -> T.StructType:

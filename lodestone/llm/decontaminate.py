@@ -6,10 +6,12 @@ and stand in the index as one separator (an exact reduction).  The shard's Burro
 matrix; all windows are searched backward at once through its ranks, occurrences are located by walking to sampled
 suffix positions, and overlapping occurrences merge into removal spans.
 
-The benchmark travels to the tasks in groups of at most GROUP_WORDS words; a larger benchmark takes several passes.
+Spark writes the benchmark to the shared folder in groups of about GROUP_WORDS words, and tasks read one group a pass; a
+larger benchmark takes several passes, and none of it goes through the driver.
 
 Defined results: null text has no words; a document or item without words is never hit; repeated rows each get a row;
-repeated items (same id and text) count once; an empty table gives an empty table, an empty benchmark hits nothing;
+repeated items (same id and text) count once; items with a null id hit words like others and count together as one item,
+without a name (null, last in items); an empty table gives an empty table, an empty benchmark hits nothing;
 other input columns are ignored (find) or passed on (clean).
 """
 
@@ -22,9 +24,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import written
+
 #: A word: any run of characters but ASCII ones that are neither letter nor digit; upper case is lowered first.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 GROUP_WORDS = 2_000_000
@@ -39,14 +45,14 @@ def words_of(text: str | None) -> list[bytes]:
 class Windows:
     """The distinct windows of some benchmark items, as rows of symbols."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int) -> None:
         self.vocab: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        owners: dict[tuple[int, ...], set[str | None]] = {}
         for item, text in items:
             w = [self.vocab.setdefault(x, len(self.vocab) + 2) for x in words_of(text)]
             for i in range(max(1, len(w) - size + 1) if w else 0):
                 owners.setdefault(tuple(w[i : i + size]), set()).add(item)
-        self.rows, self.items = [*owners], [sorted(s) for s in owners.values()]
+        self.rows, self.items = [*owners], [_by_name(s) for s in owners.values()]
         self.length = np.array([len(r) for r in self.rows], np.int64)
         self.least = int(self.length.min()) if self.rows else 0
 
@@ -142,7 +148,7 @@ def _runs(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return text, place
 
 
-def search_shard(texts: list[str | None], win: Windows) -> tuple[list[int], list[np.ndarray], list[set[str]]]:
+def search_shard(texts: list[str | None], win: Windows) -> tuple[list[int], list[np.ndarray], list[set[str | None]]]:
     """For each text: how many words, which words are hit (a mask), and the items with occurring windows."""
     get, none = win.vocab.get, repeat(1)
     ids = [np.fromiter(map(get, w, none), np.int32, len(w)) for w in map(words_of, texts)]
@@ -151,7 +157,7 @@ def search_shard(texts: list[str | None], win: Windows) -> tuple[list[int], list
     flat = np.concatenate([y for x in ids for y in (x, np.ones(1, np.int32))]) if ids else np.zeros(0, np.int32)
     begin = np.concatenate(([0], np.cumsum([k + 1 for k in n])))
     change = np.zeros(len(flat) + 1, np.int64)
-    items: list[set[str]] = [set() for _ in texts]
+    items: list[set[str | None]] = [set() for _ in texts]
     text, place = _runs(flat, win.least) if win.rows else (np.zeros(0, np.int64), None)
     if len(text):
         index = FmIndex(text, len(win.vocab) + 2)
@@ -182,12 +188,32 @@ def _shards(texts: list[str | None]) -> Iterator[tuple[int, int]]:
             start, room = i + 1, SHARD_WORDS * 6
 
 
-def _groups(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str, str]]]:
-    """The benchmark in groups of at most GROUP_WORDS words (by bytes, six a word)."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct()
+def _groups(benchmark: DataFrame, id_col: str, text_col: str) -> list[tuple[str, int]]:
+    """Folders with the benchmark in groups of about GROUP_WORDS words (by bytes, six a word), and their items' number."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // (GROUP_WORDS * 6)))
-    return [[tuple(r) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == g).collect()] for g in range(n)]
+    path = written(items.withColumn("g", F.pmod(F.xxhash64("i", "t"), F.lit(n))).repartition("g"), "g")
+    held = benchmark.sparkSession.read.schema("i string, t string, g long").parquet(path).groupBy("g").count().orderBy("g").collect()
+    return [(f"{path}/g={r.g}", r["count"]) for r in held] or [("", 0)]
+
+
+def _items(group: tuple[str, int]) -> list[tuple[str | None, str]]:
+    """The items of one group, read in a task."""
+    path, count = group
+    if not count:
+        return []
+    files, at = fs.FileSystem.from_uri(path if "://" in path else path.removeprefix("file:"))
+    parts = [x.path for x in files.get_file_info(fs.FileSelector(at)) if x.path.endswith(".parquet")]
+    held = [r for x in parts for t in [pq.read_table(files.open_input_file(x), columns=["i", "t"])] for r in zip(t.column(0).to_pylist(), t.column(1).to_pylist())]
+    if len(held) != count:
+        raise OSError(f"{len(held)} of {count} benchmark items found in {path}")
+    return held
+
+
+def _by_name(items: set[str | None]) -> list[str | None]:
+    """Sorted, the item without an id last."""
+    return sorted(items, key=lambda x: (x is None, x or ""))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -199,7 +225,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "d
     for group in _groups(benchmark, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
-            win = Windows(group, size)
+            win = Windows(_items(group), size)
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 n, spans, items = [], [], []
@@ -212,7 +238,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "d
                         edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0])))).tolist()
                         n.append(k)
                         spans.append([{"begin": a, "end": b} for a, b in zip(edge[::2], edge[1::2])])
-                        items.append(sorted(own | set(old_items)))
+                        items.append(_by_name(own | set(old_items)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], names=["id", "text", "n_words", "hits", "items"])
 
         held = held.mapInArrow(run, f"id {kind}, text string, {state}")
@@ -248,7 +274,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str =
     for group in _groups(benchmark, "item_id", "text"):
 
         def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
-            win = Windows(group, size)
+            win = Windows(_items(group), size)
             for batch in batches:
                 texts = batch.column(at).to_pylist()
                 keep = [True] * len(texts)

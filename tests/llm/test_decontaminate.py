@@ -3,9 +3,11 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 
 from lodestone.llm import decontaminate as D
+from lodestone.llm import oracles
 from tests.llm.helpers import empty_frame, frame, odd_frame, words
 
 ITEMS = "item_id long, text string"
@@ -99,3 +101,30 @@ def test_fm_index():
         for row, a, b in zip(rows, lo, hi):
             want = [i for i in range(3000 - n + 1) if (text[i : i + n] == row).all()]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_items_without_id_against_sql(spark, monkeypatch, tmp_path):
+    rng = random.Random(6)
+    rows, _ = case(rng)
+    texts = [words(rng, n) for n in (4, 10, 25, 12)]
+    items = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (8, texts[1]), (None, texts[3])]
+    rows += [(1000 + i, f"before {t} after") for i, t in enumerate(texts)]
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, ITEMS)
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", bench)):
+        df.write.parquet(str(tmp_path / name))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}/*.parquet')")
+    want = sorted(con.execute(oracles.HITS).fetchall(), key=str)
+    assert [r for r in want if r[0] == 1003][0][2:4] == (12, 1)
+    for words_a_group in (2_000_000, 5):
+        monkeypatch.setattr(D, "GROUP_WORDS", words_a_group)
+        assert sorted(map(tuple, D.digest(docs, bench).collect()), key=str) == want
+    assert [r.text for r in D.clean(docs, bench).filter("doc_id = 1003").collect()] == ["before  after"]
+
+
+def test_benchmark_stays_off_the_driver(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, f"item{i} " * 12) for i in range(50)], ITEMS)
+    monkeypatch.setattr(D, "GROUP_WORDS", 200)
+    groups = D._groups(bench, "item_id", "text")
+    assert len(groups) > 1 and sum(n for _, n in groups) == 50 and all(isinstance(path, str) for path, _ in groups)
+    assert sorted(t for g in groups for _, t in D._items(g)) == sorted(f"item{i} " * 12 for i in range(50))
