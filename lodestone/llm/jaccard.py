@@ -54,8 +54,9 @@ FEW = 3
 BLOCK = 2048
 #: Packed keys in one group of the deal, on average.
 GROUP_KEYS = 1 << 20
-#: Bits of the filter that spares documents without candidates a second hashing; bounds what is sent to tasks.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that spares documents without candidates a second hashing: so many an asked document, within least
+#: and most, which bounds what is sent to tasks.
+FILTER_EACH, FILTER_BITS, FILTER_MOST = 16, 1 << 23, 1 << 28
 #: Rows of two numbers that may be sent to every task; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 CACHE = 1 << 18
@@ -306,31 +307,42 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"many": pa.array(np.arange(len(both)) >= len(pairs)), "a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bit map of FILTER_BITS bits that has the hash of every id (one column); extra hits only cost time."""
-    (c,) = ids.columns
-    bit = F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("v"))
+def _filter_of(asked: DataFrame) -> np.ndarray:
+    """A bit map that has every hash asked for (one column); extra hits only cost time."""
+    (c,) = asked.columns
+    asked = materialize(asked.distinct())
+    bits = min(FILTER_MOST, max(FILTER_BITS, 1 << (FILTER_EACH * asked.count()).bit_length()))
+    words = asked.select(F.pmod(F.col(c), F.lit(bits)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("v"))
     held = words.toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[held.column("w").to_numpy()] = held.column("v").to_numpy()
     return out
 
 
-def _token_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """sid and tokens of (at least) the documents with one of ids."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(ids))
+def _token_sets(docs: DataFrame, asked: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """sid and tokens, a row a sid, of (at least) the documents whose hash of id and text hash is asked for."""
+    held_bits = _filter_of(asked)
+    bits = docs.sparkSession.sparkContext.broadcast(held_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for batch in batches:
             at = batch.column(0).to_numpy(zero_copy_only=False)
             hit = np.flatnonzero((bits.value[at >> 6] >> (at & 63)) & 1)
-            held = [shingles(t, k, hashes) for t in batch.column(1).take(pa.array(hit)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in held], pa.int64()), pa.array([s.tobytes() for s in held], pa.binary())], names=["sid", "tokens"])
+            held = {}
+            for t in batch.column(1).take(pa.array(hit)).to_pylist():
+                tokens = shingles(t, k, hashes)
+                sid = set_id(tokens)
+                if sid not in seen:
+                    seen.add(sid)
+                    held[sid] = tokens.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int64()), pa.array([*held.values()], pa.binary())], names=["sid", "tokens"])
 
-    rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)).alias("at"), text_col)
-    return rows.mapInArrow(run, "sid long, tokens binary")
+    # null ids too: the hash passes over nulls
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.pmod(F.xxhash64(id_col, F.xxhash64(text_col)), F.lit(len(held_bits) * 64)).alias("at"), text_col)
+    found = materialize(rows.mapInArrow(run, "sid long, tokens binary"))
+    # copies in several tasks: repeated rows, null ids or chance hits of the filter
+    return found if found.groupBy("sid").count().filter("count > 1").isEmpty() else materialize(found.dropDuplicates(["sid"]))
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -365,30 +377,28 @@ def _may_link(n_a: np.ndarray, n_b: np.ndarray, coarse_a: np.ndarray, coarse_b:
 
 
 def _plausible(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, rep_a, rep_b of the pairs that may link."""
+    """a, b, ask_a, ask_b of the pairs that may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COARSE)
         for batch in batches:
             ok = _may_link(batch.column(4).to_numpy(), batch.column(5).to_numpy(), grid(batch.column(6)), grid(batch.column(7)), num, den)
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "rep_a", "rep_b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "ask_a", "ask_b"]).filter(pa.array(ok, pa.bool_()))
 
-    kind = pairs.schema["rep_a"].dataType.simpleString()
-    return pairs.select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "coarse_a", "coarse_b").mapInArrow(run, f"a long, b long, rep_a {kind}, rep_b {kind}")
+    return pairs.select("a", "b", "ask_a", "ask_b", "n_a", "n_b", "coarse_a", "coarse_b").mapInArrow(run, "a long, b long, ask_a long, ask_b long")
 
 
 def _close(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, rep_a, rep_b of the pairs that may link by their parities."""
+    """a, b, ask_a, ask_b of the pairs that may link by their parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = lambda c: [np.frombuffer(x, _U) for x in c.to_pylist()]
         for batch in batches:
             odd = np.array([_odd(x, y) for x, y in zip(words(batch.column(6)), words(batch.column(7)))], np.int64)
             ok = (den + num) * odd <= (den - num) * (batch.column(4).to_numpy() + batch.column(5).to_numpy())
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "rep_a", "rep_b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "ask_a", "ask_b"]).filter(pa.array(ok, pa.bool_()))
 
-    kind = pairs.schema["rep_a"].dataType.simpleString()
-    return pairs.select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, f"a long, b long, rep_a {kind}, rep_b {kind}")
+    return pairs.select("a", "b", "ask_a", "ask_b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long, ask_a long, ask_b long")
 
 
 def _blocks(num: int, den: int):
@@ -430,7 +440,9 @@ def classes(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id",
 def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     base = materialize(sets(docs, k, id_col, text_col))
-    reps = materialize(base.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.any_value("coarse").alias("coarse"), F.any_value("parity").alias("parity")))
+    reps = base.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("first"), F.max("n").alias("n"), F.any_value("coarse").alias("coarse"), F.any_value("parity").alias("parity"))
+    # of each set the document of the least id (null if there is none other), and the hash that its tokens are asked for by
+    reps = materialize(reps.select("sid", F.col("first.id").alias("rep"), F.xxhash64("first.id", "first.th").alias("ask"), "n", "coarse", "parity"))
     total = reps.agg(F.sum("n")).first()[0] or 0
     groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // GROUP_KEYS)
     keys = _packed_keys(docs, k, num, den, groups, _frequent(base), id_col, text_col)
@@ -440,11 +452,11 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
         return reps.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("rep_a").alias("i")).unionAll(pairs.select(F.col("rep_b").alias("i")))
-        return _verify(pairs.select("a", "b"), materialize(_token_sets(docs, asked, k, id_col, text_col)), num, den)
+        asked = pairs.select(F.col("ask_a").alias("i")).unionAll(pairs.select(F.col("ask_b").alias("i")))
+        return _verify(pairs.select("a", "b"), _token_sets(docs, asked, k, id_col, text_col), num, den)
 
     pairs = met.filter("NOT many").select("a", "b").distinct()
-    likely = materialize(_plausible(pairs.join(of("a", "n", "rep", "coarse"), "a").join(of("b", "n", "rep", "coarse"), "b"), num, den))
+    likely = materialize(_plausible(pairs.join(of("a", "n", "ask", "coarse"), "a").join(of("b", "n", "ask", "coarse"), "b"), num, den))
     close = materialize(_close(likely.join(of("a", "n", "parity"), "a").join(of("b", "n", "parity"), "b"), num, den))
     links = components(verified(close))
     members = met.filter("many").select(F.col("a").alias("sid"), F.col("b").alias("pivot")).distinct()
@@ -455,7 +467,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     rows = rows.select("pivot", "sid", "component", "n", "coarse", "parity", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     more = materialize(rows.groupBy("pivot", "i", "j").applyInArrow(_blocks(num, den), "a long, b long"))
     if not more.isEmpty():
-        more = materialize(more.distinct().join(of("a", "rep"), "a").join(of("b", "rep"), "b"))
+        more = materialize(more.distinct().join(of("a", "ask"), "a").join(of("b", "ask"), "b"))
         links = components(verified(more).unionAll(links.select("node", "component")))
     named = reps.join(links, reps["sid"] == links["node"], "left").select("sid", "rep", F.coalesce("component", "sid").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))

@@ -122,3 +122,35 @@ def test_components(spark):
             root[max(a, b)] = min(a, b)
     assert got == {c: top(c) for c in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_null_ids_link(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    text = " ".join(rng.choice(vocabulary) for _ in range(60))
+    texts = [" ".join([*text.split()[i:], *(f"n{j}" for j in range(i))]) for i in (0, 3, 6)]
+    rows = [(1, texts[0]), (None, texts[1]), (None, texts[1]), (2, texts[2])]  # 1 and 2 link over a text without an id only
+    alone = " ".join(rng.choice(vocabulary) for _ in range(60))
+    rows += [(None, alone), (3, alone + " more")]
+    got = sorted(map(tuple, jaccard.classes(frame(spark, rows), 4, 80, 100).collect()), key=str)
+    assert got == plain(rows, 4, 80, 100)
+    assert {c for i, _, c in got if i in (1, 2)} == {1} and sorted(c for i, _, c in got if i is None) == [1, 1, 3]
+
+
+def test_one_token_row_a_set(spark, monkeypatch):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(400)]
+    text = " ".join(rng.choice(vocabulary) for _ in range(80))
+    rows = [(i, text) for i in range(40)] + [(100 + i, text + " more") for i in range(40)] + [(None, text)] * 5
+    monkeypatch.setattr(jaccard, "FILTER_BITS", 64)  # most copies pass by chance
+    monkeypatch.setattr(jaccard, "FILTER_EACH", 1, raising=False)
+    seen, verify = [], jaccard._verify
+
+    def watched(pairs, tokens, num, den):
+        seen.append((tokens.count(), tokens.select("sid").distinct().count()))
+        return verify(pairs, tokens, num, den)
+
+    monkeypatch.setattr(jaccard, "_verify", watched)
+    got = sorted(map(tuple, jaccard.classes(frame(spark, rows).repartition(8), 4, 80, 100).collect()), key=str)
+    assert got == plain(rows, 4, 80, 100)
+    assert seen and all(n == distinct for n, distinct in seen)
