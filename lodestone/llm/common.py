@@ -45,7 +45,17 @@ def written(df: DataFrame, *by: str) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, keeps column pruning."""
-    return df.sparkSession.read.schema(df.schema).parquet(written(df))
+    path = written(df)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._step = path
+    return held
+
+
+def release(*held: DataFrame) -> None:
+    """Deletes what materialize wrote for these, once all that was made of them is written too."""
+    for df in held:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._step)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def schema_with(df: DataFrame, kept: list[str], extra: str) -> T.StructType:
