@@ -8,18 +8,23 @@ Encoding cuts each text three times before any merge is tried:
    one token, so the place between them is a certain cut.
 
 Each fragment is encoded on its own and the ids are concatenated.  Ids travel as little-endian unsigned 32-bit bytes.
+Short fragments are merged together, one pair each a pass.  Long fragments are merged together rule by rule, in order of
+rank: a rule only joins tokens that rules of lower rank have made, so each rule is applied once, at all its places, and
+the work is linear in the length (up to the sorting of places).
 
-Token counts use the *whole-token shortcut*: the merge rules are run once over every vocabulary string, which proves
-which strings come out as exactly one token.  A pre-token in that set counts 1 and is never merged.
+Token counts use the *whole-token shortcut*: the merge rules are run over every vocabulary string before the job, which
+proves which strings come out as exactly one token; the proof is sent to the tasks.  A pre-token in that set counts 1 and
+is never merged.
 
 Defined results: null text counts as the empty text; the empty text has 0 tokens and decodes to ''; repeated rows each
-get a row; texts of any length are handled whole; an empty table gives an empty table; input columns other than those
-named are ignored, so clashing names do not matter.
+get a row, and equal texts equal values, so ties decide nothing; texts and words of any length are handled whole; an empty
+table gives an empty table; input columns other than those named are ignored, so clashing names do not matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -30,6 +35,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lodestone.session import ship
+
 #: The byte-level split pattern (fixed value, published with the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space beyond ASCII's six: a text that has any is split by PATTERN as a whole.
@@ -38,8 +45,10 @@ _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: Stands for "no merge rule": above every rank << 20 | id.
 _NONE = 1 << 60
-#: Entries a cache holds before it becomes the old half.
-CACHE = 1 << 19
+#: Entries, and characters of them, that a cache holds before it becomes the old half.
+CACHE, CACHE_CHARS = 1 << 18, 1 << 22
+#: Bytes from which a fragment is long.
+LONG = 96
 #: Characters of text that are encoded together.
 _CHUNK = 1 << 22
 
@@ -55,17 +64,19 @@ class _Generations:
     """A cache of bounded size: when the young half is full it becomes the old half."""
 
     def __init__(self) -> None:
-        self.young, self.old = {}, {}
+        self.young, self.old, self.chars = {}, {}, 0
 
     def fill(self, keys: set, make) -> dict:
         """The cache, holding all of keys; make(list of missing keys) gives their values."""
-        if len(self.young) + len(keys) > CACHE:
-            self.old, self.young = self.young, {}
-        if self.old:
-            self.young.update((k, self.old[k]) for k in keys if k in self.old and k not in self.young)
+        if len(self.young) + len(keys) > CACHE or self.chars > CACHE_CHARS:
+            self.old, self.young, self.chars = self.young if self.chars <= 2 * CACHE_CHARS else {}, {}, 0
         missing = [k for k in keys if k not in self.young]
+        if self.old:
+            self.young.update((k, self.old[k]) for k in missing if k in self.old)
+            missing = [k for k in missing if k not in self.young]
         if missing:
             self.young.update(zip(missing, make(missing)))
+            self.chars += sum(map(len, missing))
         return self.young
 
 
@@ -93,6 +104,11 @@ class Bpe:
         order = np.argsort(key)
         #: sorted left id << 20 | right id, and beside it rank << 20 | merged id
         self.pair_key, self.pair_rule = key[order], (np.arange(len(key)) << 20 | merged)[order]
+        #: whether every rule comes after those that make its parts
+        made = np.full(int(merged.max()) + 1 if len(merged) else 1, -1)
+        made[merged] = np.arange(len(merged))
+        parts = np.stack((key >> 20, key & 0xFFFFF))
+        self.in_order = len(np.unique(merged)) == len(merged) and bool((np.where(parts < len(made), made[np.minimum(parts, len(made) - 1)], -1) < np.arange(len(key))).all())
         #: joined[a * 256 + b]: the two bytes stand side by side in some token; elsewhere a cut is certain
         self.joined = np.zeros(256 * 256, bool)
         self.joined[[a * 256 + b for t in self.vocab for a, b in zip(t, t[1:])]] = True
@@ -109,8 +125,8 @@ class Bpe:
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after another, and how many each word has.
 
-        Words are cut at forced boundaries; in every fragment the pair of lowest rank (leftmost on ties) is merged,
-        in all fragments at once, until no rule applies.
+        Words are cut at forced boundaries; in every short fragment the pair of lowest rank (leftmost on ties) is merged,
+        in all fragments at once, until no rule applies.  Long fragments go to merge_long.
         """
         flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         if not len(flat):
@@ -120,7 +136,13 @@ class Bpe:
         first = np.ones(len(flat), bool)
         first[1:] = (word[1:] != word[:-1]) | ~self.joined[flat[:-1] * 256 + flat[1:]]
         place = np.arange(len(flat))
-        rule = np.full(len(flat), _NONE)
+        size = np.diff(np.append(np.flatnonzero(first), len(flat)))
+        if self.in_order and size.max() >= LONG:
+            long = np.repeat(size >= LONG, size)
+            kept, merged = self.merge_long(ids[long], first[long])
+            done.append((place[long][kept], merged, word[long][kept]))
+            ids, first, place, word = ids[~long], first[~long], place[~long], word[~long]
+        rule = np.full(len(ids), _NONE)
         at = np.flatnonzero(~first[1:])
         rule[at] = self._rules(ids[at], ids[at + 1])
         while len(ids):
@@ -154,6 +176,54 @@ class Bpe:
         order = np.argsort(place)
         return ids[order], np.bincount(word, minlength=len(words))
 
+    def merge_long(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places that stay after all merges, and their ids; first marks the beginnings of fragments."""
+        n = len(ids)
+        after, before = np.append(np.arange(1, n), -1), np.arange(-1, n - 1)
+        after[np.flatnonzero(first[1:])] = -1
+        before[first] = -1
+        rule, there, waiting, ranks = np.full(n, _NONE), np.ones(n, bool), {}, []
+
+        def note(at: np.ndarray) -> None:
+            """Looks up the rules of the pairs that begin at `at`, and has them wait for their rank."""
+            rule[at] = _NONE
+            at = at[after[at] >= 0]
+            rule[at] = found = self._rules(ids[at], ids[after[at]])
+            some = found != _NONE
+            at, found = at[some], found[some]
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            edge = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))).tolist() if len(at) else []
+            for lo, hi in zip(edge, [*edge[1:], len(at)]):
+                r = int(found[lo])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(at[lo:hi])
+
+        note(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            lists = waiting.pop(r)
+            at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            at = at[there[at] & (rule[at] == r)]
+            if not len(at):
+                continue
+            # of pairs that overlap (x x x) every other one, from the left
+            joined = np.concatenate(([False], after[at[:-1]] == at[1:]))
+            if joined.any():
+                place = np.arange(len(at))
+                at = at[(place - np.maximum.accumulate(np.where(joined, 0, place))) % 2 == 0]
+            gone = after[at]
+            ids[at], there[gone], rule[gone] = r & 0xFFFFF, False, _NONE
+            after[at] = after[gone]
+            on = at[after[at] >= 0]
+            before[after[on]] = on
+            left = before[at]
+            note(np.union1d(at, left[left >= 0]))
+        kept = np.flatnonzero(there)
+        return kept, ids[kept]
+
     def whole(self) -> frozenset[bytes]:
         """The vocabulary strings that the merge rules bring to one token."""
         if self._whole is None:
@@ -237,6 +307,7 @@ def load(path: str) -> Bpe:
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (little-endian uint32 bytes) and decoded text of every row."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -250,6 +321,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
 def encode_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256, and whether the text came back as it was."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -269,9 +341,12 @@ def encode_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
+    ship(docs.sparkSession)
+    proof = docs.sparkSession.sparkContext.broadcast(load(path).whole())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        bpe._whole = proof.value
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = bpe.count(texts)

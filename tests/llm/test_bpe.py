@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -87,3 +88,29 @@ def test_small_cache(monkeypatch, library):
     b = bpe.Bpe(PATH)
     texts = [t or "" for t in odd_texts()] * 2
     assert [len(p) // 4 for p in b.encode(texts)] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_long_words(library):
+    """Words of a million characters cost about what ordinary text costs, and come out as the library has them."""
+    rng = random.Random(5)
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    cases = ["x" * 1_000_000, "!?" * 400_000, "abcdefghij" * 80_000, "aaab" * 100_000, "é漢字" * 60_000, "".join(rng.choice(letters) for _ in range(500_000)), "".join(rng.choice(("the", "ing", "tion", "er", "con")) for _ in range(150_000))]
+    b = bpe.Bpe(PATH)
+    began = time.perf_counter()
+    packed = b.encode(cases)
+    assert time.perf_counter() - began < 40
+    for text, ids in zip(cases, packed):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert b.count(cases) == [len(p) // 4 for p in packed]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abxé!1 ", min_size=1, max_size=300))
+def test_long_and_short_ways_agree(text):
+    b = bpe.load(PATH)
+    words = [w.encode() for w in b.pattern.findall(text)]
+    one = b.merge(words)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe, "LONG", 1)
+        other = b.merge(words)
+    assert one[0].tolist() == other[0].tolist() and one[1].tolist() == other[1].tolist()
