@@ -9,16 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
-#: Rows that go to a Python worker at once where the session has Spark's own 10,000: texts are long, and executors hold
-#: a batch on both sides.
-BATCH_ROWS = 2000
+#: Bytes that go to a Python worker at once where the session says nothing: texts are long, and executors hold a batch on
+#: both sides.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a context, so that it need not be installed there."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if BATCH_BYTES[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH_BYTES)
     if getattr(sc, "_lodestone_shipped", False):
         return
     here = Path(__file__).resolve().parent
