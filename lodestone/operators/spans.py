@@ -27,6 +27,17 @@ def by_trace(spans: DataFrame, trace_id: str) -> DataFrame:
     return spans.filter(F.col("trace_id") == trace_id).orderBy("seq")
 
 
+def size(spans: DataFrame) -> DataFrame:
+    """n: how many spans are stored."""
+    return spans.agg(F.count(F.lit(1)).alias("n"))
+
+
+def get_span(spans: DataFrame, seq: int) -> DataFrame:
+    """The span stored at seq; reading it raises if there is none."""
+    found = spans.filter(F.col("seq") == seq).agg(F.first(F.struct("*")).alias("row"))
+    return found.select(F.when(F.col("row").isNotNull(), F.col("row")).otherwise(F.raise_error(F.lit(f"no span at {seq}")).cast(found.schema["row"].dataType)).alias("row")).select("row.*")
+
+
 def _before(counts: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
     """counts (keys, order, c) with `before`, the sum of c over smaller values of order, and `all`, that over the keys.
 
@@ -81,25 +92,45 @@ def _judged(n, total, squares, x, k: float):
     return F.coalesce(n >= 2, F.lit(False)) & F.coalesce(big(off) * big(off) > big(spread) * F.lit(k * k).cast("decimal(10,4)"), F.lit(False))
 
 
+_OP = ["service_name", "name"]
+
+
+def _held(spans: DataFrame) -> DataFrame:
+    """What anomaly tests need of each span, and the span as a whole in `row`, so that its columns may have any names."""
+    d = F.col("duration_ns").cast("decimal(38,0)")
+    return spans.select(*_OP, "start_ns", "seq", "duration_ns", d.alias("d"), (d * d).cast("decimal(38,0)").alias("q"), F.struct("*").alias("row"))
+
+
+def _on(mark: str, keys: list[str]):
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{mark}_{c}")) for c in keys])
+
+
+def _marked(mark: str, keys: list[str]) -> list:
+    return [F.col(c).alias(f"{mark}_{c}") for c in keys]
+
+
+def _with_anomaly(judged: DataFrame, spans: DataFrame) -> DataFrame:
+    """row's columns and is_anomaly, which takes the place of a column of that name."""
+    return judged.select(*[F.col("row").getField(c).alias(c) for c in spans.columns if c != "is_anomaly"], "is_anomaly")
+
+
 def anomalies_expanding(spans: DataFrame, k: float = 3, bucket_ns: int = 86_400_000_000_000) -> DataFrame:
     """spans with is_anomaly: judged by all earlier spans of its operation (service_name, name) by start and seq.
 
     An operation is cut into time buckets: running sums within a bucket, and one row a bucket for what came before, so a
     frequent operation is no single task.
     """
-    op = ["service_name", "name"]
-    d = F.col("duration_ns").cast("decimal(38,0)")
-    held = spans.withColumns({"_b": F.expr(f"start_ns div {bucket_ns}"), "_d": d, "_q": (d * d).cast("decimal(38,0)")})
-    before = Window.partitionBy(*op).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = held.groupBy(*op, "_b").agg(F.count("_d").alias("n"), F.sum("_d").cast("decimal(38,0)").alias("t"), F.sum("_q").cast("decimal(38,0)").alias("q"))
+    held = _held(spans).withColumn("b", F.expr(f"start_ns div {bucket_ns}"))
     zero = F.lit(0).cast("decimal(38,0)")
-    carried = sums.select(*[F.col(c).alias(f"k_{c}") for c in (*op, "_b")], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("t").over(before).cast("decimal(38,0)"), zero).alias("t0"), F.coalesce(F.sum("q").over(before).cast("decimal(38,0)"), zero).alias("q0"))
-    own = Window.partitionBy(*op, "_b").orderBy("start_ns", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    run = held.withColumns({"n1": F.count("_d").over(own), "t1": F.coalesce(F.sum("_d").over(own).cast("decimal(38,0)"), zero), "q1": F.coalesce(F.sum("_q").over(own).cast("decimal(38,0)"), zero)})
-    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in (*op, "_b")])
-    both = run.join(carried, on)
+    total = lambda c, w: F.coalesce(F.sum(c).over(w).cast("decimal(38,0)"), zero)
+    before = Window.partitionBy(*_OP).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = held.groupBy(*_OP, "b").agg(F.count("d").alias("n"), F.sum("d").cast("decimal(38,0)").alias("t"), F.sum("q").cast("decimal(38,0)").alias("u"))
+    carried = sums.select(*_marked("k", [*_OP, "b"]), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), total("t", before).alias("t0"), total("u", before).alias("q0"))
+    own = Window.partitionBy(*_OP, "b").orderBy("start_ns", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    run = held.withColumns({"n1": F.count("d").over(own), "t1": total("d", own), "q1": total("q", own)})
+    both = run.join(carried, _on("k", [*_OP, "b"]))
     n, t, q = (F.col(f"{c}1") + F.col(f"{c}0") for c in "ntq")
-    return both.withColumn("is_anomaly", _judged(n, t.cast("decimal(38,0)"), q.cast("decimal(38,0)"), F.col("duration_ns"), k)).select(*spans.columns, "is_anomaly")
+    return _with_anomaly(both.withColumn("is_anomaly", _judged(n, t.cast("decimal(38,0)"), q.cast("decimal(38,0)"), F.col("duration_ns"), k)), spans)
 
 
 def anomalies_rolling(spans: DataFrame, k: float = 3, window: int = 100, chunk: int = 20_000, bucket_ns: int = 86_400_000_000_000) -> DataFrame:
@@ -109,23 +140,21 @@ def anomalies_rolling(spans: DataFrame, k: float = 3, window: int = 100, chunk:
     """
     if window < 2:
         raise ValueError("window must be at least 2")
-    op = ["service_name", "name"]
     chunk = max(chunk, window)
     # each row has a place of its own: rows before its start, before its range of seq among spans that start together, and in it
-    cut = spans.withColumn("_s", F.expr(f"seq div {chunk}"))
-    tied = cut.groupBy(*op, "start_ns", "_s").agg(F.count(F.lit(1)).alias("c"))
-    starts = _before(tied.groupBy(*op, "start_ns").agg(F.sum("c").alias("c")), op, "start_ns", bucket_ns).select(*[F.col(c).alias(f"f_{c}") for c in (*op, "start_ns")], "before")
-    ahead = Window.partitionBy(*op, "start_ns").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    on = lambda mark, keys: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{mark}_{c}")) for c in keys])
-    parts = tied.withColumn("ahead", F.coalesce(F.sum("c").over(ahead), F.lit(0))).join(starts, on("f", (*op, "start_ns")))
-    firsts = parts.select(*[F.col(c).alias(f"k_{c}") for c in (*op, "start_ns", "_s")], (F.col("before") + F.col("ahead")).alias("_first"))
-    own = Window.partitionBy(*op, "start_ns", "_s").orderBy("seq", "duration_ns")
-    placed = cut.join(firsts, on("k", (*op, "start_ns", "_s"))).withColumn("_i", F.col("_first") + F.row_number().over(own) - 1).withColumn("_c", F.expr(f"_i div {chunk}"))
-    near = placed.withColumn("_c", F.explode(F.when(F.col("_i") % chunk >= chunk - window, F.array(F.col("_c"), F.col("_c") + 1)).otherwise(F.array(F.col("_c")))))
-    w = Window.partitionBy(*op, "_c").orderBy("_i").rowsBetween(-window, -1)
-    d = F.col("duration_ns").cast("decimal(38,0)")
-    judged = near.withColumn("is_anomaly", _judged(F.count(d).over(w), F.sum(d).over(w).cast("decimal(38,0)"), F.sum((d * d).cast("decimal(38,0)")).over(w).cast("decimal(38,0)"), F.col("duration_ns"), k))
-    return judged.filter(F.expr(f"_c = _i div {chunk}")).select(*spans.columns, "is_anomaly")
+    cut = _held(spans).withColumn("s", F.expr(f"seq div {chunk}"))
+    start, part = [*_OP, "start_ns"], [*_OP, "start_ns", "s"]
+    tied = cut.groupBy(*part).agg(F.count(F.lit(1)).alias("c"))
+    starts = _before(tied.groupBy(*start).agg(F.sum("c").alias("c")), _OP, "start_ns", bucket_ns).select(*_marked("f", start), "before")
+    ahead = Window.partitionBy(*start).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    parts = tied.withColumn("ahead", F.coalesce(F.sum("c").over(ahead), F.lit(0))).join(starts, _on("f", start))
+    firsts = parts.select(*_marked("k", part), (F.col("before") + F.col("ahead")).alias("first"))
+    own = Window.partitionBy(*part).orderBy("seq", "duration_ns")
+    placed = cut.join(firsts, _on("k", part)).withColumn("i", F.col("first") + F.row_number().over(own) - 1).withColumn("c", F.expr(f"i div {chunk}"))
+    near = placed.withColumn("c", F.explode(F.when(F.col("i") % chunk >= chunk - window, F.array(F.col("c"), F.col("c") + 1)).otherwise(F.array(F.col("c")))))
+    w = Window.partitionBy(*_OP, "c").orderBy("i").rowsBetween(-window, -1)
+    judged = near.withColumn("is_anomaly", _judged(F.count("d").over(w), F.sum("d").over(w).cast("decimal(38,0)"), F.sum("q").over(w).cast("decimal(38,0)"), F.col("duration_ns"), k))
+    return _with_anomaly(judged.filter(F.expr(f"c = i div {chunk}")), spans)
 
 
 def flame_nodes(spans: DataFrame, rounds: int = 20) -> DataFrame:

@@ -49,6 +49,16 @@ def span_by_trace(s):
     return _cols(S.by_trace(s, "t7"))
 
 
+@query(f"SELECT {_OUT} FROM spans WHERE seq = 77")
+def span_get(s):
+    return _cols(S.get_span(s, 77))
+
+
+@query("SELECT count(*) AS n FROM spans")
+def span_size(s):
+    return S.size(s)
+
+
 @query(f"SELECT {_OUT} FROM spans WHERE (duration_ns > 20000000 AND NOT status_code = 'error') OR (service_name = 'view' AND k >= 50)")
 def span_filter_compound(s):
     return _cols(s.filter(((field("duration") > 20_000_000) & ~(field("status") == "error")) | ((field("service") == "view") & (attribute("k") >= 50))))
@@ -128,6 +138,18 @@ def map_layout(s):
     return S.map_layout(S.service_nodes(s), 800, 600).select("service_name", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+@query(
+    "WITH n AS (SELECT service_name, row_number() OVER (ORDER BY min(seq)) - 1 AS i, count(*) OVER () AS n FROM spans GROUP BY service_name), "
+    "l AS (SELECT service_name, 400 + 240 * cos(i * 2 * pi() / n - pi() / 2) AS x, 300 + 240 * sin(i * 2 * pi() / n - pi() / 2) AS y FROM n), "
+    "p AS (SELECT span_id, service_name, row_number() OVER (PARTITION BY span_id ORDER BY seq DESC) AS r FROM spans), "
+    "e AS (SELECT p.service_name AS a, c.service_name AS b, count(*) AS call_count FROM spans c JOIN p ON c.parent_span_id = p.span_id AND p.r = 1 WHERE p.service_name <> c.service_name GROUP BY 1, 2) "
+    "SELECT a AS from_service, b AS to_service, call_count, round(l.x, 6) AS x1, round(l.y, 6) AS y1, round(m.x, 6) AS x2, round(m.y, 6) AS y2 FROM e JOIN l ON l.service_name = a JOIN l m ON m.service_name = b"
+)
+def map_lines(s):
+    lines = S.map_lines(S.service_edges(s), S.map_layout(S.service_nodes(s), 800, 600))
+    return lines.select("from_service", "to_service", "call_count", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
 @query(f"SELECT seq, CAST(start_ns AS VARCHAR) AS start_ns, CAST(end_ns AS VARCHAR) AS end_ns, CAST(duration_ns AS VARCHAR) AS duration_ns FROM spans")
 def span_serialized(s):
     return S.serialized(s).select("seq", "start_ns", "end_ns", "duration_ns")
@@ -138,3 +160,13 @@ def otlp_round_trip(s):
     payloads = otlp.build(s).withColumn("payload_id", F.concat_ws("/", "service_name", "part"))
     back = otlp.flatten(payloads)
     return back.select("trace_id", "span_id", "parent_span_id", "name", "service_name", "start_ns", "end_ns", "duration_ns", F.try_element_at("attributes", F.lit("k"))["n"].alias("k"), "status_code")
+
+
+@query("SELECT span_id AS payload_id FROM spans WHERE (status_code = 'error' AND seq % 7 = 0) OR k = 5")
+def otlp_rejects(s):
+    """Payloads of one span each; some spans have no trace id, some an attribute without a known kind of value."""
+    spoilt = (F.col("status_code") == "error") & (F.col("seq") % 7 == 0)
+    empty = F.struct(F.lit(None).cast("string").alias("s"), F.lit(None).cast("double").alias("n"), F.lit(None).cast("boolean").alias("b"))
+    attributes = F.when(F.try_element_at("attributes", F.lit("k"))["n"] == 5, F.create_map(F.lit("odd"), empty)).otherwise(F.col("attributes"))
+    one = s.withColumns({"service_name": F.col("span_id"), "trace_id": F.when(~spoilt, F.col("trace_id")), "attributes": attributes})
+    return otlp.rejected(otlp.build(one).withColumnRenamed("service_name", "payload_id"))

@@ -174,3 +174,22 @@ def test_serialized(spark):
     assert S.serialized(make(spark, [{"start": EPOCH}])).first().start_ns == str(EPOCH)
     assert S.by_trace(make(spark, [{}, {"trace": "u"}]), "u").count() == 1
     assert S.by_service(make(spark, [{}, {"service": "u"}]), "u").count() == 1
+
+
+def test_get_and_size(spark):
+    s = make(spark, [{}, {"span": "second"}])
+    assert S.get_span(s, 1).first().span_id == "second" and S.get_span(s, 1).columns == s.columns
+    assert S.size(s).first().n == 2 and S.size(s.filter("false")).first().n == 0
+    with pytest.raises(Exception, match="no span at 2"):
+        S.get_span(s, 2).collect()
+
+
+def test_anomalies_keep_columns_of_any_name(spark):
+    values = [5, 5, 5, 6, 5, 900, 5]
+    s = make(spark, [{"start": EPOCH + i, "ns": v} for i, v in enumerate(values)])
+    names = ["_b", "_d", "_q", "n1", "t1", "q1", "_c", "_i", "b", "d", "q", "i", "c", "s", "row", "first", "before", "is_anomaly"]
+    odd = s.withColumns({n: F.concat(F.lit(n), F.col("seq")) for n in names})
+    for judged in (S.anomalies_expanding(odd), S.anomalies_rolling(odd, 3, 3, 4)):
+        rows = judged.orderBy("seq").collect()
+        assert all(r[n] == f"{n}{r.seq}" for r in rows for n in names[:-1])
+        assert rows[5].is_anomaly is True and rows[0].is_anomaly is False
