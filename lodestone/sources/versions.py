@@ -1,20 +1,20 @@
-"""Mutable tables as version logs: plain DataFrames whose rows carry _row_id, _commit_ts and _deleted.
+"""Changes of a table as DataFrames: rows inserted, updated and deleted, and the newest row of each key.
 
-A change is a set of new row versions; a log is the union of all changes.  A snapshot is the newest version of each row
-up to a commit, without deleted ones.  Logs live as Parquet with one folder a commit; Spark's own success mark says
-whether a commit is complete.
+A changed table is a log: its rows carry _row_id, _commit_ts and _deleted.  A change is a set of new row versions; a log is
+the union of changes; a snapshot is the newest version of each row up to a time, without deleted ones, in one aggregate
+over one scan of the log.  Storing the log is Spark's writer's business.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARKS = ["_row_id", "_commit_ts", "_deleted"]
 
 
 def initial(rows: DataFrame, row_id: Column, commit_ts: int = 1) -> DataFrame:
-    """A log with all rows inserted by one commit."""
+    """A log with all rows inserted at one time."""
     return rows.withColumns({"_row_id": row_id.cast("bigint"), "_commit_ts": F.lit(commit_ts).cast("bigint"), "_deleted": F.lit(False)})
 
 
@@ -32,67 +32,35 @@ def snapshot(log: DataFrame, commit_ts: int | None = None) -> DataFrame:
 
 
 def updated(log: DataFrame, values: dict[str, Column], where: Column, snapshot_ts: int, commit_ts: int) -> DataFrame:
-    """New versions of the rows that match in the snapshot; every value is computed from the old row."""
+    """New versions of the rows that match in the snapshot; every value is computed from the old row. Its count() is how
+    many rows the update changes."""
+    unknown = [c for c in values if c not in log.columns or c in MARKS]
+    if unknown:
+        raise ValueError(f"no columns {unknown}")
     rows = newest(log, snapshot_ts).filter("NOT _deleted").filter(where)
     new = [(values[c] if c in values else F.col(c)).cast(log.schema[c].dataType).alias(c) for c in log.columns if c not in MARKS]
     return rows.select(*new, "_row_id", F.lit(commit_ts).cast("bigint").alias("_commit_ts"), F.lit(False).alias("_deleted")).select(*log.columns)
 
 
 def deleted(log: DataFrame, where: Column, snapshot_ts: int, commit_ts: int) -> DataFrame:
-    """Marks for the rows that match in the snapshot."""
+    """Marks for the rows that match in the snapshot. Its count() is how many rows the deletion takes."""
     rows = newest(log, snapshot_ts).filter("NOT _deleted").filter(where)
     return rows.withColumns({"_commit_ts": F.lit(commit_ts).cast("bigint"), "_deleted": F.lit(True)}).select(*log.columns)
 
 
-def inserted(log: DataFrame, rows: DataFrame, first_id: int, order: list[str], commit_ts: int) -> DataFrame:
-    """New rows; columns that rows lacks are null. Ids follow first_id in the order of the columns named (hash-spread if
-    none decide), given by Spark's id generator once, at writing."""
-    new = [(F.col(c) if c in rows.columns else F.lit(None)).cast(log.schema[c].dataType).alias(c) for c in log.columns if c not in MARKS]
-    ids = (F.monotonically_increasing_id() + F.lit(first_id)).alias("_row_id")
-    ordered = rows.orderBy(*order) if order else rows
-    return ordered.select(*new, ids, F.lit(commit_ts).cast("bigint").alias("_commit_ts"), F.lit(False).alias("_deleted")).select(*log.columns)
-
-
-def compacted(log: DataFrame, oldest_ts: int) -> DataFrame:
-    """A log with the same snapshots from oldest_ts on: the newest version up to there, and all later ones; a deletion
-    with nothing before it goes."""
-    base = newest(log, oldest_ts).filter("NOT _deleted")
-    return base.unionByName(log.filter(F.col("_commit_ts") > oldest_ts))
-
-
-def commit(changes: DataFrame, path: str, commit_ts: int) -> None:
-    """Writes one commit; it counts once Spark has marked it complete."""
-    changes.drop("_commit_ts").write.parquet(f"{path}/_commit_ts={commit_ts}")
-
-
-def commits(spark: SparkSession, path: str) -> list[int]:
-    """The complete commits of a log; folders that a lost writer left count for nothing."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(at)]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith("_commit_ts=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
-
-
-def load(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
-    """The log from its complete commits."""
-    found = [t for t in commits(spark, path) if upto is None or t <= upto]
-    parts = [spark.read.parquet(f"{path}/_commit_ts={t}").withColumn("_commit_ts", F.lit(t).cast("bigint")) for t in found]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def transaction(spark: SparkSession, path: str, work) -> int:
-    """Runs work(log as of now, commit_ts) -> changes or None, and commits what it returns; an error commits nothing.
-    The work sees the log as it was, not its own changes; of two writers the later commit wins."""
-    done = commits(spark, path)
-    now, new = done[-1], done[-1] + 1
-    changes = work(load(spark, path, now), new)
-    if changes is not None:
-        commit(changes, path, new)
-        return new
-    return now
+def inserted(log: DataFrame, rows: DataFrame, columns: list[str], commit_ts: int) -> DataFrame:
+    """New rows for the columns named, in order; as many as rows has, other columns are null. Its count() is how many rows
+    come in.
+
+    Row ids follow the log's largest, read in the same job; they leave gaps between partitions.
+    """
+    if len(columns) != len(rows.columns):
+        raise ValueError(f"{len(columns)} columns for rows of {len(rows.columns)} values")
+    unknown = [c for c in columns if c not in log.columns or c in MARKS]
+    if unknown:
+        raise ValueError(f"no columns {unknown}")
+    named = rows.toDF(*columns)
+    new = [(F.col(c) if c in columns else F.lit(None)).cast(log.schema[c].dataType).alias(c) for c in log.columns if c not in MARKS]
+    last = log.agg(F.coalesce(F.max("_row_id"), F.lit(0)).alias("m")).scalar()
+    ids = (F.monotonically_increasing_id() + F.lit(1) + last).alias("_row_id")
+    return named.select(*new, ids, F.lit(commit_ts).cast("bigint").alias("_commit_ts"), F.lit(False).alias("_deleted")).select(*log.columns)

@@ -1,6 +1,4 @@
-"""Version logs: snapshots, changes, transactions, compaction."""
-
-import random
+"""Changed tables: snapshots, updates, deletions, insertions."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,49 +27,24 @@ def test_assignments_see_the_old_row(spark):
     log = V.initial(spark.createDataFrame([(1, 10)], "id long, n long"), F.lit(7))
     swapped = V.updated(log, {"id": F.col("n"), "n": F.col("id")}, F.lit(True), 1, 2)
     assert rows(swapped) == [(10, 1)]
+    with pytest.raises(ValueError, match="no columns"):
+        V.updated(log, {"absent": F.lit(1)}, F.lit(True), 1, 2)
 
 
-def test_insert_fills_missing_columns(spark):
+def test_insert(spark):
     log = log_of(spark)
-    new = V.inserted(log, spark.createDataFrame([(9,)], "id long"), 100, ["id"], 2)
-    assert rows(V.snapshot(log.unionByName(new))) == [(1, 10), (2, 20), (3, None), (9, None)]
-
-
-def test_compaction_never_changes_snapshots(spark):
-    rng = random.Random(1)
-    log = log_of(spark)
-    for ts in range(2, 8):
-        change = V.deleted(log, F.col("id") == rng.randint(1, 3), ts - 1, ts) if rng.random() < 0.3 else V.updated(log, {"n": F.coalesce("n", F.lit(0)) + ts}, F.col("id") == rng.randint(1, 3), ts - 1, ts)
-        log = spark.createDataFrame(log.unionByName(change).collect(), log.schema)
-    for oldest in range(1, 8):
-        small = V.compacted(log, oldest)
-        assert small.count() <= log.count()
-        for ts in range(oldest, 8):
-            assert rows(V.snapshot(small, ts)) == rows(V.snapshot(log, ts))
-
-
-def test_transactions(spark, tmp_path):
-    path = f"{tmp_path}/t"
-    V.commit(log_of(spark), path, 1)
-    seen = []
-
-    def raise_prices(log, ts):
-        change = V.updated(log, {"n": F.col("n") * 2}, F.col("n").isNotNull(), ts - 1, ts)
-        seen.append(rows(V.snapshot(log)))  # not its own changes
-        return change
-
-    assert V.transaction(spark, path, raise_prices) == 2
-    assert seen == [[(1, 10), (2, 20), (3, None)]]
-    assert rows(V.snapshot(V.load(spark, path))) == [(1, 20), (2, 40), (3, None)]
-
-    def fails(log, ts):
-        raise RuntimeError("no")
-
-    with pytest.raises(RuntimeError):
-        V.transaction(spark, path, fails)
-    assert V.transaction(spark, path, lambda log, ts: None) == 2
-    assert V.commits(spark, path) == [1, 2]
-    assert rows(V.snapshot(V.load(spark, path, 1))) == [(1, 10), (2, 20), (3, None)]
-    (tmp_path / "t" / "_commit_ts=3").mkdir()  # what a lost writer leaves
-    assert V.commits(spark, path) == [1, 2]
-    assert V.commits(spark, f"{tmp_path}/none") == []
+    new = V.inserted(log, spark.createDataFrame([(9,), (8,)], "x long"), ["id"], 2)
+    assert rows(V.snapshot(log.unionByName(new))) == [(1, 10), (2, 20), (3, None), (8, None), (9, None)]
+    again = V.inserted(log.unionByName(new), spark.createDataFrame([(1, 1)], "a long, b long"), ["n", "id"], 3)
+    assert V.snapshot(log.unionByName(new).unionByName(again)).count() == 6  # ids follow the largest
+    assert new.count() == 2
+    for columns in (["id", "n"], []):
+        with pytest.raises(ValueError, match="values"):
+            V.inserted(log, spark.createDataFrame([(9,)], "x long"), columns, 2)
+    with pytest.raises(ValueError, match="no columns"):
+        V.inserted(log, spark.createDataFrame([(9,)], "x long"), ["absent"], 2)
+
+
+def test_insert_into_nothing(spark):
+    log = log_of(spark).filter("id > 99")
+    assert rows(V.snapshot(log.unionByName(V.inserted(log, spark.createDataFrame([(9, 1)], "x long, y long"), ["id", "n"], 2)))) == [(9, 1)]
