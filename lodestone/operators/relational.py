@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,10 +35,10 @@ def aggregate(df: DataFrame, keys: dict[str, Column], values: dict[str, Column])
 
 def distinct_ordered(df: DataFrame, columns: list[str], order: Column, first: list[Column]) -> DataFrame:
     """Distinct values of columns, ordered by an expression that is not selected: of equal values the row that is first
-    by `first` gives the order."""
-    w = Window.partitionBy(*columns).orderBy(*first)
-    kept = df.withColumns({"_r": F.row_number().over(w), "_o": order}).filter("_r = 1")
-    return kept.orderBy(F.col("_o").asc_nulls_last(), *first).select(*columns)
+    by `first` (ascending, nulls first) gives the order. An aggregate, so a frequent value is not sorted in one task."""
+    places = [c.alias(f"k{i}") for i, c in enumerate(first)]
+    kept = df.select(F.struct(*columns).alias("values"), F.struct(*places, order.alias("o")).alias("row")).groupBy("values").agg(F.min("row").alias("row"))
+    return kept.orderBy(F.col("row.o").asc_nulls_last(), *[F.col(f"row.k{i}") for i in range(len(first))]).select("values.*")
 
 
 def sort_stable(df: DataFrame, keys: list[Column], row_id: str) -> DataFrame:

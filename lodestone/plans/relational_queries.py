@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import semantics as S
@@ -28,21 +29,21 @@ def query(sql: str):
 col = F.col
 
 
-@query("SELECT n_name, n_regionkey FROM nation")
+@query("SELECT o_orderkey, o_totalprice FROM orders")
 def scan_project(t):
-    return t("nation", "n_name", "n_regionkey")
+    return t("orders", "o_orderkey", "o_totalprice")
 
 
-@query("SELECT * FROM region")
+@query("SELECT * FROM orders")
 def select_star(t):
-    return t("region")
+    return t("orders")
 
 
-@query("SELECT 1 + 2 AS three, 'a' AS letter, 7 / 2.0 AS half, count(*) OVER () AS one FROM region WHERE r_regionkey = 0")
+@query("SELECT 1 + 2 AS three, 'a' AS letter, 7 / 2.0 AS half, (SELECT count(*) FROM orders) AS n_orders")
 def from_less(t):
-    # one row of constants, read off the smallest table so that the input decides whether it is there
-    one = t("region", "r_regionkey").filter(col("r_regionkey") == 0)
-    return one.select((F.lit(1) + F.lit(2)).alias("three"), F.lit("a").alias("letter"), S.divide(F.lit(7), F.lit(2)).alias("half"), F.lit(1).cast("bigint").alias("one"))
+    # a row without FROM, one of whose values is a scalar subquery
+    orders = t("orders", "o_orderkey")
+    return R.single_row(orders.sparkSession, three=F.lit(1) + F.lit(2), letter=F.lit("a"), half=S.divide(F.lit(7), F.lit(2)), n_orders=orders.agg(F.count(F.lit(1))).scalar())
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE (o_orderstatus = 'F' AND o_totalprice > 200000) OR NOT (o_orderpriority <> '1-URGENT')")
@@ -92,6 +93,12 @@ def join_theta(t):
     return R.join(t("supplier", "s_suppkey", "s_nationkey", "s_acctbal"), t("nation", "n_nationkey"), on, "left").select("s_suppkey", "n_nationkey")
 
 
+@query("SELECT c_custkey, n_nationkey FROM customer JOIN nation ON c_acctbal > n_nationkey * 400 AND c_nationkey < n_nationkey")
+def join_theta_inner(t):
+    on = (col("c_acctbal") > col("n_nationkey") * 400) & (col("c_nationkey") < col("n_nationkey"))
+    return R.join(t("customer", "c_custkey", "c_nationkey", "c_acctbal"), t("nation", "n_nationkey"), on).select("c_custkey", "n_nationkey")
+
+
 @query("SELECT r_name, n_name, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey GROUP BY r_name, n_name")
 def join_multiway(t):
     rn = R.join(t("region"), t("nation"), col("r_regionkey") == col("n_regionkey"))
@@ -100,10 +107,12 @@ def join_multiway(t):
     return R.aggregate(o, {"r_name": col("r_name"), "n_name": col("n_name")}, {"n": S.count()})
 
 
-@query("SELECT a.n_name AS one, b.n_name AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey")
+@query("SELECT a.o_orderkey AS one, b.o_orderkey AS other FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate WHERE a.o_orderkey < b.o_orderkey")
 def join_self(t):
-    a, b = t("nation").alias("a"), t("nation").alias("b")
-    return R.join(a, b, col("a.n_regionkey") == col("b.n_regionkey")).filter("a.n_nationkey < b.n_nationkey").select(col("a.n_name").alias("one"), col("b.n_name").alias("other"))
+    # two orders of a customer on one day
+    a, b = (t("orders", "o_orderkey", "o_custkey", "o_orderdate").alias(x) for x in "ab")
+    on = (col("a.o_custkey") == col("b.o_custkey")) & (col("a.o_orderdate") == col("b.o_orderdate"))
+    return R.join(a, b, on).filter("a.o_orderkey < b.o_orderkey").select(col("a.o_orderkey").alias("one"), col("b.o_orderkey").alias("other"))
 
 
 @query("SELECT count(*) AS n, count(l_tax) AS taxed, sum(l_quantity) AS qty, avg(l_discount) AS disc, min(l_shipdate) AS lo, max(l_shipdate) AS hi FROM lineitem")
@@ -156,13 +165,11 @@ def distinct_hidden_order(t):
     return R.limit(R.distinct_ordered(t("customer", "c_mktsegment", "c_acctbal", "c_custkey"), ["c_mktsegment"], col("c_acctbal"), [col("c_custkey")]), 2)
 
 
-@query("SELECT c_custkey, o_orderkey, row_number() OVER (ORDER BY o_orderkey ASC NULLS LAST, c_custkey DESC) AS place FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderkey % 50 = 0 ORDER BY place LIMIT 2000")
+@query("SELECT c_custkey, o_orderkey, row_number() OVER (ORDER BY o_orderkey ASC NULLS LAST, c_custkey DESC) AS place FROM customer LEFT JOIN orders ON c_custkey = o_custkey ORDER BY place LIMIT 2000")
 def sort_multi(t):
-    j = R.join(t("customer", "c_custkey"), t("orders", "o_orderkey", "o_custkey").filter("o_orderkey % 50 = 0"), col("c_custkey") == col("o_custkey"), "left").select("c_custkey", "o_orderkey")
+    # a top-k report: the first 2000 rows of the whole join, numbered in one task
+    j = R.join(t("customer", "c_custkey"), t("orders", "o_orderkey", "o_custkey"), col("c_custkey") == col("o_custkey"), "left").select("c_custkey", "o_orderkey")
     top = R.limit(j.orderBy(S.ascending(col("o_orderkey")), S.descending(col("c_custkey"))), 2000)
-    # the report's 2000 rows are numbered in one task
-    from pyspark.sql import Window
-
     return top.withColumn("place", F.row_number().over(Window.orderBy(S.ascending(col("o_orderkey")), S.descending(col("c_custkey")))).cast("bigint"))
 
 

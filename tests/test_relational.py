@@ -134,3 +134,9 @@ def test_scan(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/t")
     assert R.scan(spark, f"{tmp_path}/t", ["id", "gone"]).first() == Row(id=0, gone=None) or R.scan(spark, f"{tmp_path}/t", ["id", "gone"]).filter("gone IS NULL").count() == 3
     assert R.single_row(spark, a=F.lit(1), b=F.lit("x")).collect() == [Row(a=1, b="x")]
+
+
+def test_distinct_ordered_by_any_names(spark):
+    df = spark.createDataFrame([("a", 3, 1), ("b", 1, 2), ("a", 0, 3), (None, None, 4), ("b", 9, 5)], "_o string, values long, row long")
+    got = R.distinct_ordered(df, ["_o"], F.col("values"), [F.col("row")]).collect()
+    assert [r[0] for r in got] == ["b", "a", None]
