@@ -157,11 +157,20 @@ def anomalies_rolling(spans: DataFrame, k: float = 3, window: int = 100, chunk:
     return _with_anomaly(judged.filter(F.expr(f"c = i div {chunk}")), spans)
 
 
+def _twice_as_far(jump: DataFrame) -> DataFrame:
+    """jump: trace_id, span_id, up (an ancestor that may have more above it) and depth (how far up that is)."""
+    over = jump.select(F.col("trace_id").alias("o_trace"), F.col("span_id").alias("o_span"), F.col("up").alias("o_up"), F.col("depth").alias("o_depth"))
+    joined = jump.join(over, (F.col("trace_id") == F.col("o_trace")) & (F.col("up") == F.col("o_span")), "left")
+    return joined.select("trace_id", "span_id", F.col("o_up").alias("up"), (F.col("depth") + F.coalesce("o_depth", F.lit(0))).alias("depth"))
+
+
 def flame_nodes(spans: DataFrame, rounds: int = 20) -> DataFrame:
     """spans with start_offset_ns (from the trace's first start) and depth (how many ancestors are in the trace).
 
-    Depths come by pointer doubling: each round joins every span to the ancestor twice as far up, so a trace of depth d
-    takes log2(d) joins.  Only spans on or below a cycle of parents, which never reach a root, are walked in Python.
+    Depths come by pointer doubling: each join takes every span to the ancestor twice as far up, so a trace of depth d
+    takes log2(d) joins, two of them between checkpoints.  How many are needed is told by jobs while the plan is made.  Only
+    spans on or below a cycle of parents, which never reach a root, are walked in Python, as are those deeper than `rounds`
+    doublings tell (a million).
     """
     first = spans.groupBy(F.col("trace_id").alias("f_trace")).agg(F.min("start_ns").alias("first_ns"))
     nodes = spans.groupBy("trace_id", "span_id").agg(F.max_by(F.struct("parent_span_id"), "seq").alias("p")).select("trace_id", "span_id", F.col("p.parent_span_id").alias("up"))
@@ -169,13 +178,11 @@ def flame_nodes(spans: DataFrame, rounds: int = 20) -> DataFrame:
     known = (F.col("trace_id") == F.col("i_trace")) & (F.col("up") == F.col("i_span"))
     jump = nodes.join(ids, known, "left").select("trace_id", "span_id", F.col("i_span").alias("up"), F.when(F.col("i_span").isNull(), 0).otherwise(1).cast("bigint").alias("depth"))
     largest = nodes.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 1
-    for _ in range(min(rounds, math.ceil(math.log2(largest)) + 1)):
+    for _ in range(0, min(rounds, math.ceil(math.log2(largest)) + 1), 2):
         jump = jump.checkpoint() if nodes.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else jump.cache()
         if jump.filter("up IS NOT NULL").isEmpty():
             break
-        over = jump.select(F.col("trace_id").alias("o_trace"), F.col("span_id").alias("o_span"), F.col("up").alias("o_up"), F.col("depth").alias("o_depth"))
-        joined = jump.join(over, (F.col("trace_id") == F.col("o_trace")) & (F.col("up") == F.col("o_span")), "left")
-        jump = joined.select("trace_id", "span_id", F.col("o_up").alias("up"), (F.col("depth") + F.coalesce("o_depth", F.lit(0))).alias("depth"))
+        jump = _twice_as_far(_twice_as_far(jump))
     looped = jump.filter("up IS NOT NULL").select("trace_id", "span_id")
     depths = jump.filter("up IS NULL").select("trace_id", "span_id", "depth")
     if not looped.isEmpty():
