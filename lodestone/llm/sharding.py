@@ -4,21 +4,24 @@ Every row gets a 60-bit hash of its key.  The directory is indexed by hash-prefi
 splits on one more bit, and only such buckets split.  The shard of a row is its shortest prefix whose rows fit.
 
 Bytes are first summed into cells, a few bits finer than the number of shards calls for; all shorter prefixes are sums
-of cells.  Cells that are still too large are split again by a further round on their rows alone.
-
-Defined results: null text has 0 bytes; a null key counts as the empty key; repeated rows share a hash, so they share a
-shard; a bucket of one hash value cannot split and stays whole even if it is over the limit (a row longer than the
-limit, or repeated rows); an empty table gives an empty table; other input columns are ignored.
+of cells.  A prefix is a shard if it fits and the one that is a bit shorter, it and its sister, does not.  Cells that are
+still too large are split again by a further round on their rows alone.  Tables of cells and shards grow with the data: they
+are sent to every task only while their counted rows are few.
+
+Defined results: null text has 0 bytes; very long texts count whole; a null key counts as the empty key; repeated rows
+share a hash, so they share a shard, and ties decide nothing; a bucket of one hash value cannot split and stays whole even
+if it is over the limit (a row longer than the limit, or repeated rows); an empty table gives an empty table; other input
+columns are ignored (assign) or kept (write_shards), whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import materialize, sided
 
 HASH_BITS = 60
 
@@ -29,14 +32,19 @@ def key_hash(key: Column) -> Column:
 
 
 def _leaves(rows: DataFrame, done: int, depth: int, limit: int) -> DataFrame:
-    """For each cell (prefix of depth bits): its shard's depth, or null where the cell itself is too large."""
+    """For each cell (prefix of depth bits): its shard, or null where the cell itself is too large."""
     cells = rows.groupBy(F.shiftright("h", HASH_BITS - depth).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("c"), F.min("h").alias("lo"), F.max("h").alias("hi"))
     cells = materialize(cells)
     levels = cells.withColumn("d", F.explode(F.sequence(F.lit(done), F.lit(depth)))).withColumn("prefix", F.expr(f"shiftright(lo, {HASH_BITS} - d)"))
     sums = levels.groupBy("d", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("c").alias("shard_docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    fits = sums.filter((F.col("shard_bytes") <= limit) | (F.col("lo") == F.col("hi"))).select("d", "prefix", "shard_bytes", "shard_docs")
-    best = levels.select("cell", "d", "prefix").join(fits, ["d", "prefix"]).groupBy("cell").agg(F.min(F.struct("d", "prefix", "shard_bytes", "shard_docs")).alias("leaf"))
-    return cells.select("cell").join(best, "cell", "left")
+    sisters = Window.partitionBy("d", F.shiftright("prefix", 1))
+    fits = lambda b, lo, hi: (b <= limit) | (lo == hi)
+    shorter = fits(F.sum("shard_bytes").over(sisters), F.min("lo").over(sisters), F.max("hi").over(sisters))
+    first = sums.withColumn("first", (F.col("d") == done) | ~shorter).filter(F.col("first") & fits(F.col("shard_bytes"), F.col("lo"), F.col("hi")))
+    shards = materialize(first.select("d", "prefix", "shard_bytes", "shard_docs"))
+    leaf = F.struct("d", "prefix", "shard_bytes", "shard_docs").alias("leaf")
+    placed = levels.select("cell", "d", "prefix").join(sided(shards, shards.count()), ["d", "prefix"]).select("cell", leaf)
+    return cells.select("cell").join(placed, "cell", "left")
 
 
 def assign(docs: DataFrame, limit: int, key_col: str = "doc_id", text_col: str = "text", spare_bits: int = 4) -> DataFrame:
@@ -48,7 +56,7 @@ def assign(docs: DataFrame, limit: int, key_col: str = "doc_id", text_col: str =
     out, left, done = None, rows, 0
     while True:
         leaves = materialize(_leaves(left, done, depth, limit))
-        placed = left.withColumn("cell", F.shiftright("h", HASH_BITS - depth)).join(leaves, "cell")
+        placed = left.withColumn("cell", F.shiftright("h", HASH_BITS - depth)).join(sided(leaves, leaves.count()), "cell")
         whole = placed.filter("leaf IS NOT NULL").select("k", "n_bytes", "leaf")
         out = whole if out is None else out.unionByName(whole)
         if leaves.filter("leaf IS NULL").isEmpty():
@@ -59,10 +67,17 @@ def assign(docs: DataFrame, limit: int, key_col: str = "doc_id", text_col: str =
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, key_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes docs to one folder a shard; each shard is at most limit bytes of text, so it is one task's work."""
-    places = assign(docs, limit, key_col, text_col).select(F.col(key_col).alias("_key"), "shard_depth", "shard_prefix").distinct()
-    placed = docs.join(places, docs[key_col].eqNullSafe(places["_key"])).drop(places["_key"])
-    placed.repartition("shard_depth", "shard_prefix").write.partitionBy("shard_depth", "shard_prefix").parquet(path)
+    """Writes docs to one folder a shard; each shard is at most limit bytes of text, so it is one task's work.
+
+    The folders are named by shard_depth and shard_prefix, with underscores behind while docs has columns of these names.
+    """
+    mark = ""
+    while {f"shard_depth{mark}".lower(), f"shard_prefix{mark}".lower()} & {c.lower() for c in docs.columns}:
+        mark += "_"
+    by = [f"shard_depth{mark}", f"shard_prefix{mark}"]
+    places = assign(docs, limit, key_col, text_col).select(F.struct(F.col(key_col).alias("k")).alias("at"), F.struct(F.col("shard_depth").alias("d"), F.col("shard_prefix").alias("p")).alias("to")).distinct()
+    placed = docs.select(F.struct("*").alias("row"), F.struct(F.col(key_col).alias("k")).alias("own")).join(places, F.col("own.k").eqNullSafe(F.col("at.k")))
+    placed.select("row.*", F.col("to.d").alias(by[0]), F.col("to.p").alias(by[1])).repartition(*by).write.partitionBy(*by).parquet(path)
 
 
 def oracle_sql(limit: int, max_depth: int) -> str:

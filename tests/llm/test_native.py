@@ -60,6 +60,24 @@ def test_written_shards(spark, tmp_path):
     assert back.groupBy("shard_depth", "shard_prefix").agg(F.sum(F.length("text")).alias("b")).filter("b > 500").count() == 0
 
 
+def test_written_shards_beside_clashing_names(spark, tmp_path):
+    docs = frame(spark, [(i, "z" * 50) for i in range(60)] + [(None, "no id")]).withColumns({"shard_depth": F.lit("x"), "Shard_Prefix": F.lit(3), "shard_prefix_": F.lit(4), "row": F.lit(1), "own": F.lit(2), "_key": F.lit(5)})
+    sharding.write_shards(docs, f"{tmp_path}/out", 500)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.select(docs.columns).exceptAll(docs).isEmpty() and back.count() == 61
+    assert back.groupBy("shard_depth__", "shard_prefix__").agg(F.sum(F.length("text")).alias("b")).filter("b > 500").isEmpty()
+
+
+def test_shards_by_shuffle(spark, monkeypatch):
+    """Many cells and shards are joined by shuffle, with the same result."""
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rng = random.Random(6)
+    rows = [(i, words(rng, rng.randint(0, 60))) for i in range(200)]
+    assert sorted(map(tuple, sharding.assign(frame(spark, rows), 300).collect()), key=str) == plain_shards(rows, 300)
+
+
 def plain_fp(text):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     w = [x for x in text.lower().replace("\n", " ").replace("\t", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if x]
