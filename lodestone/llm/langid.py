@@ -8,11 +8,14 @@ in them, so every byte of every text counts.
 A filter over one-hot bytes is a table row per byte and offset; for inference neighbouring offsets are merged into
 tables of byte pairs, so a response costs one or two look-ups.
 
-The network is fitted on at most `per_language` rows of each language (those of smallest hash; at most
-`windows` windows of each), which bounds what the driver holds.  Language, source and id are no inputs.
-
-Defined results: null texts and texts without a letter get `und` and score 0; repeated rows each get a row; without any
-labelled row every text gets `und` and score 0; an empty table gives an empty table; other input columns are ignored.
+The network is fitted on at most `per_language` ids of each language (those of smallest hash; of more than SAMPLE /
+`per_language` languages fewer of each, but all languages), one row each and at most `windows` windows of it, which bounds
+what the driver holds.  Language, source and id are no inputs.
+
+Defined results: null texts and texts without a letter get `und` and score 0; very long texts are read whole; of equal
+scores the language that sorts first is taken; repeated rows each get a row and teach once; of several texts of one id
+that of least hash teaches; without any labelled row every text gets `und` and score 0; an empty table gives an empty
+table; other input columns are ignored (predict) or kept (keep), whatever their names.
 """
 
 from __future__ import annotations
@@ -21,18 +24,21 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import sample_per_label, schema_with
+from lodestone.llm.common import give_back, lean, sample_per_label, schema_with
 from lodestone.llm.quality import fold
+from lodestone.session import ship
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 PER_LANGUAGE = 300
-LANGUAGES = 256
+#: Rows of all languages together.
+SAMPLE = 80_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -139,17 +145,21 @@ def windows_of(raw: bytes, most: int) -> list[bytes]:
 
 def train(docs: DataFrame, label_col: str = "lang", per_language: int = PER_LANGUAGE, windows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> Network | None:
     """Fits a network on a bounded sample of the labelled rows of docs; None without any."""
+    ship(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).filter("k IS NOT NULL AND y IS NOT NULL")
-    chosen = sample_per_label(known, "y", "k", per_language, LANGUAGES).select("k").distinct()
+    chosen = sample_per_label(known, "y", "k", per_language, SAMPLE).select("k").distinct()
     texts = docs.select(F.col(id_col).alias("k"), F.col(label_col).alias("y"), F.col(text_col).alias("t")).filter("y IS NOT NULL AND t IS NOT NULL").join(F.broadcast(chosen), "k", "left_semi")
+    texts = texts.select("k", "y", "t", F.xxhash64("t").alias("th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(y, w) for y, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()) for w in windows_of(t.encode(), windows)]
-            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in made], pa.string()), pa.array([w for _, w in made], pa.binary())], names=["y", "w"])
+            made = [windows_of(t.encode(), windows) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(made, pa.list_(pa.binary()))], names=["k", "y", "th", "w"])
 
-    held = texts.mapInArrow(run, "y string, w binary").toArrow()
-    made = sorted(zip(held.column("y").to_pylist(), held.column("w").to_pylist()))  # rows come in no fixed order
+    # one row an id, however often it stands in docs: this is what the bound on the driver's rows rests on
+    rows = texts.mapInArrow(lean(run), f"k {docs.schema[id_col].dataType.simpleString()}, y string, th long, w array<binary>")
+    held = rows.groupBy("k").agg(F.min(F.struct("th", "y", "w")).alias("r")).select("r.y", "r.w").toArrow()
+    made = sorted((y, w) for y, own in zip(held.column("y").to_pylist(), held.column("w").to_pylist()) for w in own)  # rows come in no fixed order
     if not made:
         return None
     languages = sorted({y for y, _ in made})
@@ -170,7 +180,7 @@ def predict(docs: DataFrame, network: Network | None, text_col: str = "text") ->
             lang, score = network.predict(texts, tables) if network and texts else ([UNKNOWN] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema_with(docs, kept, "lang_pred string, score double"))
+    return docs.mapInArrow(lean(run), schema_with(docs, kept, "lang_pred string, score double"))
 
 
 def digest(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -182,5 +192,13 @@ def digest(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 def keep(docs: DataFrame, least: float = 0.4, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The rows of docs, with docs' columns, whose language is known with a score of at least `least`."""
     network = train(docs.filter(fold(F.col("doc_id"), 5) != 0), per_language=per_language)
-    scored = predict(docs.select(F.struct("*").alias("row"), F.col("text").alias("t")), network, text_col="t")
-    return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+
+    @F.pandas_udf("boolean")
+    def known(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tables = network.pair_tables() if network else []
+        for texts in parts:
+            lang, score = network.predict(texts.tolist(), tables) if network and len(texts) else ([UNKNOWN] * len(texts), [0.0] * len(texts))
+            yield pd.Series([y != UNKNOWN and s >= least for y, s in zip(lang, score)], dtype=bool)
+        give_back()
+
+    return docs.filter(known("text"))

@@ -1,15 +1,17 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and length metadata.
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata (bytes, words and lines).
 
 score(x) = sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i (v_if x_i)^2)), linear in the text.
 
-The machine is fitted on the driver with numpy, on at most `sample` labelled rows (those of smallest hash; the bound is
-the only thing that does not grow with the input).  Scoring reads every whole text.  Labels, language, source and id
-are no inputs.
+The machine is fitted on the driver with numpy, on at most `sample` labelled ids (those of smallest hash; the bound is
+the only thing that does not grow with the input), one row each.  Scoring reads every whole text.  Labels, language,
+source and id are no inputs.
 
-Defined results: null text counts as the empty text, which gets a score from its structure statistics alone; equal
-texts get equal scores; repeated rows each get a row; rows without a label, or labels of unknown documents, teach
-nothing; labels of one id that differ teach their larger value; with no labels of both kinds every score is the share
-of label 1 (0.5 without labels); an empty table gives an empty table; other input columns are ignored.
+Defined results: null text counts as the empty text, which gets a score from its structure statistics alone; very long
+texts are read whole; equal texts get equal scores, and a score of 0.5 counts as 1; repeated rows each get a row; rows
+without a label, or labels of unknown documents, teach nothing; labels of one id that differ teach their larger value, and
+of several texts of one id that of least hash teaches; with no labels of both kinds every score is the share of label 1
+(0.5 without labels); an empty table gives an empty table; other input columns are ignored (score) or kept (keep),
+whatever their names.
 """
 
 from __future__ import annotations
@@ -17,27 +19,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import schema_with
+from lodestone.llm.common import give_back, lean, schema_with
+from lodestone.session import ship
 
 WORD_BUCKETS = 2048
 RANK = 8
 BINS = 12
 SAMPLE = 6000
-CACHE = 1 << 19
+CACHE = 1 << 17
 
 #: Byte classes that structure statistics count: lower, upper, digit, white space, line end, above ASCII, other.
 _CLASS = np.full(256, 6, np.int64)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 0, 1, 2, 5
 _CLASS[[9, 11, 12, 13, 32]], _CLASS[10] = 3, 4
 _RATIOS = 13
-#: Metadata: the length of the text as a power of two.
+#: Metadata: bytes, words and lines of the text as powers of two.
 LENGTHS = 24
-FEATURES = WORD_BUCKETS + _RATIOS * BINS + LENGTHS
+FEATURES = WORD_BUCKETS + _RATIOS * BINS + 3 * LENGTHS
 
 
 class WordBuckets(dict):
@@ -75,9 +79,9 @@ class Features:
         at = np.fromiter(map(self.buckets.__getitem__, words), np.int64, len(words))
         seen = np.flatnonzero(np.bincount(at, minlength=WORD_BUCKETS))
         bins = np.minimum((np.array(_ratios(raw, words, at)) * BINS).astype(np.int64), BINS - 1)
-        length = FEATURES - LENGTHS + min(LENGTHS - 1, len(raw).bit_length())
-        index = np.concatenate((seen, WORD_BUCKETS + np.arange(_RATIOS) * BINS + bins, [length]))
-        value = np.concatenate((np.full(len(seen), 1 / np.sqrt(max(1, len(seen)))), np.ones(_RATIOS + 1)))
+        lengths = [FEATURES - (k + 1) * LENGTHS + min(LENGTHS - 1, n.bit_length()) for k, n in enumerate((len(raw), len(words), raw.count(b"\n")))]
+        index = np.concatenate((seen, WORD_BUCKETS + np.arange(_RATIOS) * BINS + bins, lengths))
+        value = np.concatenate((np.full(len(seen), 1 / np.sqrt(max(1, len(seen)))), np.ones(_RATIOS + 3)))
         return index, value
 
 
@@ -131,25 +135,28 @@ def fold(id_col: Column, folds: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """Fits a machine on at most sample rows of labels and their documents."""
+    """Fits a machine on at most sample ids of labels and one document of each."""
+    ship(docs.sparkSession)
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     chosen = known.orderBy(F.xxhash64(id_col, F.lit(1)), id_col).limit(sample)
-    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), F.col("k") == F.col(id_col)).select("t", "y")
+    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), F.col("k") == F.col(id_col)).select("t", "y", "k", F.xxhash64("t").alias("th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
             rows = [features.of(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([i.tolist() for i, _ in rows], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in rows], pa.list_(pa.float32()))], names=["y", "i", "v"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([i.tolist() for i, _ in rows], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in rows], pa.list_(pa.float32()))], names=["y", "k", "th", "i", "v"])
 
-    held = texts.mapInArrow(run, "y int, i array<int>, v array<float>").toArrow()
+    # one row an id, however often it stands in docs: this is what the bound on the driver's rows rests on
+    made = texts.mapInArrow(lean(run), f"y int, k {docs.schema[id_col].dataType.simpleString()}, th long, i array<int>, v array<float>")
+    held = made.groupBy("k").agg(F.min(F.struct("th", "y", "i", "v")).alias("r")).select("r.y", "r.i", "r.v").toArrow()
     rows = [(np.array(i), np.array(v)) for i, v in zip(held.column("i").to_pylist(), held.column("v").to_pylist())]
     order = sorted(range(len(rows)), key=lambda k: (len(rows[k][0]), rows[k][0].tolist()))  # rows come in no fixed order
     return fit([rows[k] for k in order], [held.column("y")[k].as_py() for k in order])
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' id, held_out where present, score and predicted (1 from 0.5 on) of every row."""
+    """docs' other columns, score and predicted (1 from 0.5 on) of every row."""
     kept = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +166,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
             s = np.array([machine.score(*features.of(t)) for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema_with(docs, kept, "score double, predicted int"))
+    return docs.mapInArrow(lean(run), schema_with(docs, kept, "score double, predicted int"))
 
 
 def digest(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -171,5 +178,12 @@ def digest(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, with docs' columns, that the classifier predicts 1 for."""
     machine = train(docs, labels.filter(fold(F.col("doc_id"), 3) != 1), sample=sample)
-    scored = score(docs.select(F.struct("*").alias("row"), F.col("text").alias("t")), machine, text_col="t")
-    return scored.filter("predicted = 1").select("row.*")
+
+    @F.pandas_udf("boolean")
+    def good(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        features = Features()
+        for texts in parts:
+            yield pd.Series([machine.score(*features.of(t)) >= 0.5 for t in texts], dtype=bool)
+        give_back()
+
+    return docs.filter(good("text"))

@@ -4,13 +4,15 @@ Categories are predicted one after another, each by a linear (logistic) model ov
 beginnings; the probabilities of all earlier categories are further inputs.  While fitting, those probabilities are
 out-of-fold predictions, so a later model never sees what an earlier one has learnt by heart.
 
-The chain is fitted on the driver with numpy, on at most `sample` labelled rows of each combination of labels (those of
-smallest hash).  Only features whose mean differs clearly between the classes enter a model.  Scoring reads every whole
-text, with a look-up for each word.
-
-Defined results: null text counts as the empty text; repeated rows each get a row; a category without rows of both kinds
-gets its share of 1 as every probability (0.5 without labels); an empty table gives an empty table; other input columns
-are ignored.
+The chain is fitted on the driver with numpy, on at most `sample` labelled ids of each combination of labels (those of
+smallest hash), one row each.  Only features whose mean differs clearly between the classes enter a model.  Scoring reads
+every whole text, with a look-up for each word.  Two parameters belong to the model, not to the data: a word counts MOST
+times at most, and TOP features at most make one linear model.
+
+Defined results: null text counts as the empty text; very long texts are read whole; a probability of 0.5 counts as toxic;
+repeated rows each get a row and teach once; of several texts of one id that of least hash teaches, of several labels the
+larger; a category without rows of both kinds gets its share of 1 as every probability (0.5 without labels); an empty
+table gives an empty table; other input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,16 +27,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import sample_per_label, schema_with
+from lodestone.llm.common import lean, sample_per_label, schema_with
+from lodestone.llm.quality import fold
+from lodestone.session import ship
 
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 BUCKETS = 1 << 20
+#: Labelled rows of each combination of labels.
 SAMPLE = 1500
 TOP = 600
 CLEAR = 5.0
 FOLDS = 3
 MOST = 3
-CACHE = 1 << 18
+CACHE = 1 << 17
 
 
 def features_of(word: bytes) -> tuple[int, ...]:
@@ -163,17 +168,20 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Chain:
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """categories: in chain order, each a 0/1 expression over labels; at most sample rows of each combination are used."""
+    ship(docs.sparkSession)
     y = F.array(*[F.max(c.cast("int")) for c in categories.values()])
     known = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(y.alias("y")).filter(~F.exists("y", lambda v: v.isNull()))
-    chosen = sample_per_label(known.withColumnRenamed(id_col, "k"), "y", "k", sample)
-    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "k").select("y", "t")
+    chosen = sample_per_label(known.withColumnRenamed(id_col, "k"), "y", "k", sample, sample << len(categories))
+    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "k").select("y", "t", "k", F.xxhash64("t").alias("th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [counts_of(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.tolist() for i, _ in rows], pa.list_(pa.int32())), pa.array([n.tolist() for _, n in rows], pa.list_(pa.int32()))], names=["y", "i", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([i.tolist() for i, _ in rows], pa.list_(pa.int32())), pa.array([n.tolist() for _, n in rows], pa.list_(pa.int32()))], names=["y", "k", "th", "i", "n"])
 
-    held = texts.mapInArrow(run, "y array<int>, i array<int>, n array<int>").toArrow()
+    # one row an id, however often it stands in docs: this is what the bound on the driver's rows rests on
+    each = texts.mapInArrow(lean(run), f"y array<int>, k {docs.schema[id_col].dataType.simpleString()}, th long, i array<int>, n array<int>")
+    held = each.groupBy("k").agg(F.min(F.struct("th", "y", "i", "n")).alias("r")).select("r.y", "r.i", "r.n").toArrow()
     made = zip(held.column("y").to_pylist(), (np.array(i, np.int64) for i in held.column("i").to_pylist()), (np.array(n, np.int64) for n in held.column("n").to_pylist()))
     made = sorted(made, key=lambda r: (len(r[1]), r[1].tolist(), r[0]))  # rows come in no fixed order
     order = np.random.default_rng(1).permutation(len(made))
@@ -190,7 +198,7 @@ def score(docs: DataFrame, chain: Chain, categories: list[str], text_col: str =
             p = np.array([chain.probabilities(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(categories))
             yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], *(pa.array(p[:, k]) for k in range(len(categories)))], names=[*kept, *(f"p_{c}" for c in categories)])
 
-    return docs.mapInArrow(run, schema_with(docs, kept, ", ".join(f"`p_{c}` double" for c in categories)))
+    return docs.mapInArrow(lean(run), schema_with(docs, kept, ", ".join(f"`p_{c}` double" for c in categories)))
 
 
 def categories() -> dict[str, Column]:
@@ -200,7 +208,8 @@ def categories() -> dict[str, Column]:
 
 
 def digest(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, p_junk, p_toxic, p_toxic_junk and toxic (p_toxic >= 0.5) of every document."""
+    """doc_id, held_out, p_junk, p_toxic, p_toxic_junk and toxic (p_toxic >= 0.5) of every document; rows whose crc32 fold of
+    3 is 1 are held out of fitting."""
     own = categories()
-    chain = train(docs, labels, own, sample)
-    return score(docs.select("doc_id", "text"), chain, [*own]).withColumn("toxic", F.col("p_toxic") >= 0.5)
+    chain = train(docs, labels.filter(fold(F.col("doc_id"), 3) != 1), own, sample)
+    return score(docs.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "text"), chain, [*own]).withColumn("toxic", F.col("p_toxic") >= 0.5)

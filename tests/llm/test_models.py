@@ -2,6 +2,7 @@
 
 import os
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -53,7 +54,91 @@ def test_toxicity_finds_its_words(spark):
     got = toxicity.digest(frame(spark, rows), spark.createDataFrame(labels[:300], LABELS)).collect()
     fresh = {r.doc_id: r.toxic for r in got if r.doc_id >= 300}
     assert np.mean([fresh[i] == bool(t) for i, _, t in labels[300:]]) > 0.97
-    assert got[0].asDict().keys() == {"doc_id", "p_junk", "p_toxic", "p_toxic_junk", "toxic"}
+    assert got[0].asDict().keys() == {"doc_id", "held_out", "p_junk", "p_toxic", "p_toxic_junk", "toxic"}
+
+
+@needs_data
+def test_toxicity_accuracy(spark):
+    labels = table(spark, "labels")
+    got = toxicity.digest(table(spark, "documents"), labels).join(labels.filter("toxic IS NOT NULL").withColumnRenamed("toxic", "truth"), "doc_id").filter("held_out").collect()
+    assert len(got) > 50 and np.mean([r.toxic == bool(r.truth) for r in got]) > 0.95
+    assert np.mean([r.toxic for r in got if r.truth]) > 0.8
+
+
+def pair_sum(machine, index, value):
+    """The factorisation machine's logit by all pairs of features."""
+    z = machine.bias + sum(float(machine.weight[i]) * v for i, v in zip(index, value))
+    return z + sum(float(machine.factors[index[a]] @ machine.factors[index[b]]) * value[a] * value[b] for a in range(len(index)) for b in range(a))
+
+
+def test_quality_query_against_all_pairs(spark):
+    rng = random.Random(17)
+    rows, labels = mixed(rng)
+    docs, labels = frame(spark, rows), spark.createDataFrame(labels, LABELS)
+    machine = quality.train(docs, labels.filter(quality.fold(F.col("doc_id"), 3) != 1))
+    texts = dict(rows)
+    for r in quality.digest(docs, labels).collect()[::20]:
+        index, value = quality.Features().of(texts[r.doc_id])
+        want = 1 / (1 + np.exp(-pair_sum(machine, index.tolist(), value.tolist())))
+        assert abs(r.score - want) < 1e-4 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_language_query_against_plain_network(spark):
+    rng = random.Random(18)
+    rows = [(i, words(rng, rng.randint(1, 120), ("the", "of", "and") if i % 2 else ("der", "und", "für")), "en" if i % 2 else "de") for i in range(80)]
+    docs = frame(spark, rows)
+    net = langid.train(docs.filter(quality.fold(F.col("doc_id"), 5) != 0))
+    texts = {r[0]: r[1] for r in rows}
+
+    def plain(text):
+        raw = text.encode().lower()
+        total = np.zeros(len(net.languages))
+        for lo in range(0, len(raw), langid.WINDOW):
+            own = raw[lo : lo + langid.WINDOW]
+            x = own.ljust(langid.WINDOW, b"\0")
+            pooled = [max(sum(t[o][x[i + o]][f] for o in range(w)) for i in range(langid.WINDOW - w + 1)) for w, t in zip(langid.WIDTHS, net.tables) for f in range(langid.FILTERS)]
+            e = np.exp(np.array(pooled) @ net.head + net.bias)
+            total += e / e.sum() * len(own)
+        return net.languages[int(total.argmax())], total.max() / total.sum()
+
+    for r in langid.digest(docs).collect()[::12]:
+        lang, score = plain(texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_toxicity_query_against_plain_chain(spark):
+    rng = random.Random(19)
+    rows, labels = mixed(rng)
+    docs, labels = frame(spark, rows), spark.createDataFrame(labels, LABELS)
+    chain = toxicity.train(docs, labels.filter(quality.fold(F.col("doc_id"), 3) != 1), toxicity.categories())
+    texts = dict(rows)
+    for r in toxicity.digest(docs, labels).collect()[::15]:
+        at, n = toxicity.counts_of(texts[r.doc_id])
+        counts, earlier = dict(zip(at.tolist(), n.tolist())), []
+        for m in chain.models:
+            z = m.bias + sum(counts.get(b, 0) * w for b, w in zip(m.buckets.tolist(), m.weight.tolist())) + sum(c * p for c, p in zip(m.chain.tolist(), earlier))
+            earlier.append(1 / (1 + np.exp(-z)))
+        assert np.allclose([r.p_junk, r.p_toxic, r.p_toxic_junk], earlier, atol=1e-5)
+
+
+def test_repeated_ids_teach_once(spark):
+    """One labelled id that makes most rows brings one row to the driver."""
+    rng = random.Random(20)
+    rows, labels = mixed(rng)
+    many = [*rows, *[(0, f"{rows[0][1]} {i}") for i in range(1500)]]
+    labels = spark.createDataFrame(labels, LABELS)
+    taught = []
+    for module, train in ((quality, lambda d: quality.train(d, labels)), (toxicity, lambda d: toxicity.train(d, labels, toxicity.categories()))):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(module, "fit", lambda held, y: taught.append(len(held)))
+            train(frame(spark, many))
+    assert taught == [400, 400]
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(i, f"word{i % 400} text of language {i % 400}", f"l{i % 400:03d}") for i in range(800)]
+    net = langid.train(frame(spark, rows), per_language=2)
+    assert len(net.languages) == 400
 
 
 def test_chain_uses_out_of_fold_predictions():
