@@ -35,6 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lodestone.llm.common import lean
 from lodestone.session import ship
 
 #: The byte-level split pattern (fixed value, published with the vocabulary).
@@ -46,11 +47,11 @@ _PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: Stands for "no merge rule": above every rank << 20 | id.
 _NONE = 1 << 60
 #: Entries, and characters of them, that a cache holds before it becomes the old half.
-CACHE, CACHE_CHARS = 1 << 18, 1 << 22
+CACHE, CACHE_CHARS = 1 << 16, 1 << 22
 #: Bytes from which a fragment is long.
 LONG = 96
 #: Characters of text that are encoded together.
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -316,7 +317,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array([bpe.decode(p) for p in packed], pa.string())], names=["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _renamed(docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids binary, decoded string"), id_col)
+    return _renamed(docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, ids binary, decoded string"), id_col)
 
 
 def encode_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,7 +337,7 @@ def encode_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _renamed(docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"), id_col)
+    return _renamed(docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"), id_col)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,7 +357,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _renamed(docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean"), id_col)
+    return _renamed(docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean"), id_col)
 
 
 def _renamed(df: DataFrame, id_col: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import lean, written
 
 #: A word: any run of characters but ASCII ones that are neither letter nor digit; upper case is lowered first.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -241,7 +241,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "d
                         items.append(_by_name(own | set(old_items)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], names=["id", "text", "n_words", "hits", "items"])
 
-        held = held.mapInArrow(run, f"id {kind}, text string, {state}")
+        held = held.mapInArrow(lean(run), f"id {kind}, text string, {state}")
     return held.select(F.col("id").alias(id_col), "n_words", "hits", "items")
 
 
@@ -296,7 +296,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str =
                     arrays[j] = pa.array(changed, batch.schema.field(j).type)
                 yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 

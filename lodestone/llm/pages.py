@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, release
+from lodestone.llm.common import lean, materialize, release
 from lodestone.session import ship
 
 #: A class needs this share of a host's pages, so many tokens, and one order on this share of its pages.
@@ -393,7 +393,7 @@ def _page_tokens(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], names=["host", "page", "tokens"])
 
     # rows of equal html on a host are one page: copies give no support
-    return pages.select(url_col, html_col).mapInArrow(run, f"host string, page binary, tokens array<struct<{_STRUCT}>>").dropDuplicates(["host", "page"])
+    return pages.select(url_col, html_col).mapInArrow(lean(run), f"host string, page binary, tokens array<struct<{_STRUCT}>>").dropDuplicates(["host", "page"])
 
 
 def _decisions(table: pd.DataFrame) -> pd.DataFrame:
@@ -463,4 +463,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=["id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
+    return joined.mapInArrow(lean(run), f"id {kind}, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
