@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import materialize, release
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -26,16 +26,18 @@ def _round(edges: DataFrame) -> DataFrame:
     return small.filter("y != m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionAll(least.select("x", F.col("m").alias("y"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node points at one node, and those at none."""
+    one = edges.groupBy("x").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
+    return one and edges.join(edges.select(F.col("x").alias("n")), F.col("y") == F.col("n"), "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node of its component) for every node of edges (two columns of one type)."""
     a, b = edges.columns
-    held = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).distinct()
-    mark = None
-    while True:
-        held = materialize(held)
-        now = held.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
-            break
-        mark, held = now, _round(held)
+    held = materialize(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).distinct())
+    while not _settled(held):
+        last, held = held, materialize(_round(held), held.count())
+        release(last)
     smallest = held.select(F.col("y").alias("node"), F.col("y").alias("component")).distinct()
     return held.select(F.col("x").alias("node"), F.col("y").alias("component")).unionAll(smallest)

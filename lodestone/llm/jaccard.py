@@ -17,16 +17,23 @@ it; a pair is a candidate if either set uses the shared key.  Frequencies steer
 
 *Candidates.*  Keys are dealt by hash in packed arrays.  A key that few sets share gives all its pairs.  A key that many
 share gives the pairs with one member, its pivot (the least), which are linear in number; the members are kept by pivot.
-After the first components are known, pivots whose members all fell into one component are done.  Of the rest, members of
-different components are compared in blocks of bounded size.  So no group is expanded into all pairs, and no link between
-different components is lost.
+
+*Families.*  After the first components are known, pivots of one component are one family, so members that share many
+keys meet once.  A family whose members all fell into one component is done.  Of the rest, members of different components
+are compared by their parities in blocks of bounded size.  A block gives a least spanning forest of its components, fewer
+pairs than members; these are verified and the components joined.  What is then left between different components,
+the pairs too close to call, is given whole.  So no group is expanded into all pairs, and no link between different
+components is lost.
 
 *Verification* first compares how many tokens fall in each of 128 ranges, then the parities of how many tokens fall in
 each of two or more buckets a token; both bound from below how many tokens differ.  What is left intersects full sets.
 
+A set is named by 62 bits of a hash; a second hash of 64 bits tells if two sets got one name, and then all are renamed.
+
 Defined results: null and empty texts (and texts without a word) have an empty set and link with nothing; a text of
-fewer than k words is one shingle; repeated rows fall into one class; rows with a null id get null as their class id if
-no other member has one; an empty table gives an empty table; other input columns are ignored.
+fewer than k words is one shingle; very long texts are taken whole; repeated rows fall into one class, whose id is the
+least, so ties decide nothing; rows with a null id get null as their class id if no other member has one; an empty table
+gives an empty table; other input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, slices
+from lodestone.llm.common import BROADCAST_ROWS, lean, materialize, release, sided, slices
 from lodestone.llm.components import components
 
 _U = np.uint64
@@ -52,21 +59,23 @@ SMALL = 8
 FEW = 3
 #: Rows of one block; a task holds two.
 BLOCK = 2048
+#: Rounds of spanning forests.
+FORESTS = 1
+#: Words of parities that are compared at once.
+TILE = 1 << 19
 #: Packed keys in one group of the deal, on average.
 GROUP_KEYS = 1 << 20
 #: Bits of the filter that spares documents without candidates a second hashing: so many an asked document, within least
 #: and most, which bounds what is sent to tasks.
 FILTER_EACH, FILTER_BITS, FILTER_MOST = 16, 1 << 23, 1 << 28
-#: Rows of two numbers that may be sent to every task; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
-CACHE = 1 << 18
+CACHE = 1 << 17
 #: Bytes of text that are hashed together.
 CHUNK = 1 << 22
 #: Ranges of the coarse comparison.
 COARSE = 128
 #: A token is frequent if it is in so many documents, of those so many in one part of a task count; at most so many are told to tasks.
 FREQUENT, LOCAL, FREQUENT_TOKENS = 12, 3, 1 << 16
-USED, EXACT = 1, 2
+USED, EXACT, _NONE = 1, 2, -1
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -98,9 +107,14 @@ def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-def set_id(tokens: np.ndarray) -> int:
+def set_id(tokens: np.ndarray, seed: int = 5) -> int:
     """A signed 64-bit name of a set, its two lowest bits free for marks."""
-    return int.from_bytes(xxhash.xxh64_digest(tokens.tobytes(), 5), "little", signed=True) & ~3
+    return int.from_bytes(xxhash.xxh64_digest(tokens.tobytes(), seed), "little", signed=True) & ~3
+
+
+def check_of(tokens: np.ndarray) -> int:
+    """Another signed hash of a set, of 64 bits."""
+    return int.from_bytes(xxhash.xxh3_64_digest(tokens.tobytes()), "little", signed=True)
 
 
 def _among(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -187,11 +201,15 @@ class Bands:
                 size = at[d + 1 :] - at[d:-1]
                 cheap = (often[at[d + 1 :]] - often[at[d:-1]] < size).astype(np.int64)
                 mark[d + np.argsort((cheap << 32) + size, kind="stable")[:d]] = EXACT
+                # a set leaves its first empty segments; of two sets that match in an empty one only, one uses another
+                # that the other has not left, so a left empty key, which any number of sets would share, is not needed
+                mark[d:][(size == 0) & (mark[d:] == EXACT)] = _NONE
                 seg = np.repeat(np.arange(d), at[1 : d + 1] - at[:d])
                 keys.append(_mix((sums[seg] - mixed[: at[d]]) + band.salt[seg]))
                 marks.append(np.zeros(len(seg), np.int64))
-            keys.append(_mix(sums + band.salt))
-            marks.append(mark)
+            kept = mark != _NONE
+            keys.append(_mix(sums + band.salt)[kept])
+            marks.append(mark[kept])
         if not keys:
             return np.zeros(0, _U), np.zeros(0, np.int64)
         return np.concatenate(keys), np.concatenate(marks)
@@ -202,9 +220,9 @@ def _bands(num: int, den: int) -> Bands:
     return Bands(num, den)
 
 
-def sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """id, th (a hash of the text), n (how many shingles), sid (null for an empty set), coarse, parity, and on one row of each
-    part the tokens that are frequent in it with their counts."""
+def sets(docs: DataFrame, k: int, id_col: str, text_col: str, seed: int = 5) -> DataFrame:
+    """id, th (a hash of the text), n (how many shingles), sid (null for an empty set), check (a second hash of the set),
+    coarse, parity, and on one row of each part the tokens that are frequent in it with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -217,14 +235,14 @@ def sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
             rest = [None] * (len(held) - 1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array([len(s) for s in held], pa.int64()), pa.array([set_id(s) if len(s) else None for s in held], pa.int64()), pa.array([coarse_of(s) for s in held], pa.binary()), pa.array([parity_of(s) for s in held], pa.binary()),
+                    batch.column(0), batch.column(1), pa.array([len(s) for s in held], pa.int64()), pa.array([set_id(s, seed) if len(s) else None for s in held], pa.int64()), pa.array([check_of(s) for s in held], pa.int64()), pa.array([coarse_of(s) for s in held], pa.binary()), pa.array([parity_of(s) for s in held], pa.binary()),
                     pa.array([flat[start[often]].view(np.int64).tolist(), *rest] if held else [], pa.list_(pa.int64())), pa.array([count[often].tolist(), *rest] if held else [], pa.list_(pa.int64())),
                 ],
-                names=["id", "th", "n", "sid", "coarse", "parity", "often", "times"],
+                names=["id", "th", "n", "sid", "check", "coarse", "parity", "often", "times"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(run, f"id {kind}, th long, n long, sid long, coarse binary, parity binary, often array<long>, times array<long>")
+    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(lean(run), f"id {kind}, th long, n long, sid long, check long, coarse binary, parity binary, often array<long>, times array<long>")
 
 
 def _frequent(base: DataFrame) -> np.ndarray:
@@ -234,7 +252,7 @@ def _frequent(base: DataFrame) -> np.ndarray:
     return np.sort(top.toArrow().column(0).to_numpy().view(_U))
 
 
-def _packed_keys(docs: DataFrame, k: int, num: int, den: int, groups: int, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+def _packed_keys(docs: DataFrame, k: int, num: int, den: int, groups: int, frequent: np.ndarray, id_col: str, text_col: str, seed: int) -> DataFrame:
     """p, keys, ids: the keys of all sets (copies within a partition once), packed by group of the deal."""
     told = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -244,7 +262,7 @@ def _packed_keys(docs: DataFrame, k: int, num: int, den: int, groups: int, frequ
             keys, ids = [], []
             for t in batch.column(1).to_pylist():
                 tokens = shingles(t, k, hashes)
-                sid = set_id(tokens) if len(tokens) else None
+                sid = set_id(tokens, seed) if len(tokens) else None
                 if sid is None or sid in seen:
                     continue
                 seen.add(sid)
@@ -262,7 +280,7 @@ def _packed_keys(docs: DataFrame, k: int, num: int, den: int, groups: int, frequ
                 [pa.array(p[start], pa.int64()), pa.array([key[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()), pa.array([sid[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["p", "keys", "ids"]
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, "p long, keys binary, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), "p long, keys binary, ids binary")
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -308,9 +326,8 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _filter_of(asked: DataFrame) -> np.ndarray:
-    """A bit map that has every hash asked for (one column); extra hits only cost time."""
+    """A bit map that has every hash asked for (one column of distinct rows); extra hits only cost time."""
     (c,) = asked.columns
-    asked = materialize(asked.distinct())
     bits = min(FILTER_MOST, max(FILTER_BITS, 1 << (FILTER_EACH * asked.count()).bit_length()))
     words = asked.select(F.pmod(F.col(c), F.lit(bits)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("v"))
     held = words.toArrow()
@@ -319,30 +336,34 @@ def _filter_of(asked: DataFrame) -> np.ndarray:
     return out
 
 
-def _token_sets(docs: DataFrame, asked: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """sid and tokens, a row a sid, of (at least) the documents whose hash of id and text hash is asked for."""
-    held_bits = _filter_of(asked)
-    bits = docs.sparkSession.sparkContext.broadcast(held_bits)
+def _token_sets(docs: DataFrame, asked: DataFrame, k: int, id_col: str, text_col: str, seed: int) -> DataFrame:
+    """sid and tokens, a row a sid, of (at least) the documents whose hash of id and text hash is asked for (one column)."""
+    # null ids too: the hash passes over nulls
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(id_col, F.xxhash64(text_col)).alias("at"), F.col(text_col).alias("t"))
+    asked = asked.distinct()
+    if asked.count() <= BROADCAST_ROWS:
+        bits = None
+        rows = rows.join(F.broadcast(asked.toDF("at")), "at", "left_semi")
+    else:
+        bits = docs.sparkSession.sparkContext.broadcast(_filter_of(asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
-        for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero((bits.value[at >> 6] >> (at & 63)) & 1)
+        for batch in (part for whole in batches for part in slices(whole, 1, CHUNK)):
+            if bits is not None:
+                at = batch.column(0).to_numpy() % (len(bits.value) * 64)
+                batch = batch.filter(pa.array((bits.value[at >> 6] >> (at & 63)) & 1).cast(pa.bool_()))
             held = {}
-            for t in batch.column(1).take(pa.array(hit)).to_pylist():
+            for t in batch.column(1).to_pylist():
                 tokens = shingles(t, k, hashes)
-                sid = set_id(tokens)
+                sid = set_id(tokens, seed)
                 if sid not in seen:
                     seen.add(sid)
                     held[sid] = tokens.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int64()), pa.array([*held.values()], pa.binary())], names=["sid", "tokens"])
 
-    # null ids too: the hash passes over nulls
-    rows = docs.filter(F.col(text_col).isNotNull()).select(F.pmod(F.xxhash64(id_col, F.xxhash64(text_col)), F.lit(len(held_bits) * 64)).alias("at"), text_col)
-    found = materialize(rows.mapInArrow(run, "sid long, tokens binary"))
     # copies in several tasks: repeated rows, null ids or chance hits of the filter
-    return found if found.groupBy("sid").count().filter("count > 1").isEmpty() else materialize(found.dropDuplicates(["sid"]))
+    return rows.mapInArrow(lean(run), "sid long, tokens binary").dropDuplicates(["sid"])
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -367,7 +388,7 @@ def _verify(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(tokens.withColumnsRenamed({"sid": "b", "tokens": "tb"}), "b").join(tokens.withColumnsRenamed({"sid": "a", "tokens": "ta"}), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
 
 def _may_link(n_a: np.ndarray, n_b: np.ndarray, coarse_a: np.ndarray, coarse_b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -385,7 +406,7 @@ def _plausible(pairs: DataFrame, num: int, den: int) -> DataFrame:
             ok = _may_link(batch.column(4).to_numpy(), batch.column(5).to_numpy(), grid(batch.column(6)), grid(batch.column(7)), num, den)
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "ask_a", "ask_b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b", "ask_a", "ask_b", "n_a", "n_b", "coarse_a", "coarse_b").mapInArrow(run, "a long, b long, ask_a long, ask_b long")
+    return pairs.select("a", "b", "ask_a", "ask_b", "n_a", "n_b", "coarse_a", "coarse_b").mapInArrow(lean(run), "a long, b long, ask_a long, ask_b long")
 
 
 def _close(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -398,35 +419,112 @@ def _close(pairs: DataFrame, num: int, den: int) -> DataFrame:
             ok = (den + num) * odd <= (den - num) * (batch.column(4).to_numpy() + batch.column(5).to_numpy())
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "ask_a", "ask_b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b", "ask_a", "ask_b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long, ask_a long, ask_b long")
-
-
-def _blocks(num: int, den: int):
+    return pairs.select("a", "b", "ask_a", "ask_b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(lean(run), "a long, b long, ask_a long, ask_b long")
+
+
+class _Block:
+    """The members of two blocks of a family: who may link with whom."""
+
+    def __init__(self, table: pa.Table, num: int, den: int) -> None:
+        held = [np.frombuffer(x, _U) for x in table.column("parity").to_pylist()]
+        width, n = np.array([len(x) for x in held]), table.column("n").to_numpy()
+        order = np.lexsort((n, width))
+        self.num, self.den, self.n = num, den, n[order]
+        self.sid, self.own = (table.column(c).to_numpy()[order] for c in ("sid", "own"))
+        self.component = np.unique(table.column("component").to_numpy()[order], return_inverse=True)[1]
+        self.two = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        #: of each width its first row, and the parities of its rows by how far they are folded
+        self.start = np.flatnonzero(np.concatenate(([True], np.diff(width[order]) > 0)))
+        self.grids = []
+        for lo, hi in zip(self.start, [*self.start[1:], len(order)]):
+            grid = np.stack([held[r] for r in order[lo:hi]])
+            self.grids.append({grid.shape[1]: grid})
+
+    def _grid(self, g: int, width: int) -> np.ndarray:
+        grids = self.grids[g]
+        if width not in grids:
+            grids[width] = _folded(self._grid(g, 2 * width))
+        return grids[width]
+
+    def tiles(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All pairs of rows of different components that may link, by their sizes and how many parities differ, and how
+        many do; some rows at once, against all that are as wide or wider."""
+        widths = [next(iter(g)) for g in self.grids]
+        for g, lo in enumerate(self.start.tolist()):
+            w, rows = widths[g], len(next(iter(self.grids[g].values())))
+            for h in range(g, len(self.grids)):
+                first, other = int(self.start[h]), self._grid(h, w)
+                sizes, at = self.n[first : first + len(other)], 0
+                while at < rows:
+                    # rows of a width are sorted by size, so those of fitting sizes follow each other
+                    a = int(np.searchsorted(sizes, -(-self.num * self.n[lo + at] // self.den)))
+                    step = max(1, TILE // max(1, (len(other) - a) * w))
+                    end = min(rows, at + step)
+                    b = int(np.searchsorted(sizes, self.den * self.n[lo + end - 1] // self.num, "right"))
+                    if g == h:
+                        a = max(a, at + 1)
+                    if a < b:
+                        yield self._compared(np.arange(lo + at, lo + end), np.arange(first + a, first + b), self._grid(g, w)[at:end], other[a:b])
+                    at = end
+
+    def _compared(self, x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        odd = np.bitwise_count(px[:, None] ^ py[None]).sum(-1, dtype=np.int64)
+        nx, ny = self.n[x][:, None], self.n[y][None]
+        ok = ((self.den + self.num) * odd <= (self.den - self.num) * (nx + ny)) & (self.den * np.minimum(nx, ny) >= self.num * np.maximum(nx, ny))
+        ok &= (self.component[x][:, None] != self.component[y][None]) & (x[:, None] < y[None])
+        if self.two:
+            ok &= self.own[x][:, None] != self.own[y][None]
+        i, j = np.nonzero(ok)
+        return x[i], y[j], odd[i, j]
+
+    def _spanning(self, x: np.ndarray, y: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some pairs a least spanning forest of the components: each takes its least pair, until none is left."""
+        order = np.argsort(odd, kind="stable")
+        x, y, odd = x[order], y[order], odd[order]
+        label, taken = np.arange(self.component.max() + 1), []
+        while True:
+            a, b = label[self.component[x]], label[self.component[y]]
+            open_ = np.flatnonzero(a != b)
+            if not len(open_):
+                break
+            ends, other = np.concatenate((a[open_], b[open_])), np.concatenate((b[open_], a[open_]))
+            pair = np.concatenate((open_, open_))
+            rank = np.lexsort((pair, ends))
+            one = rank[np.concatenate(([True], ends[rank][1:] != ends[rank][:-1]))]
+            taken.append(np.unique(pair[one]))
+            up = np.arange(len(label))
+            up[ends[one]] = other[one]
+            both = (up[up] == np.arange(len(up))) & (np.arange(len(up)) < up)  # two that take the same pair
+            up[both] = np.flatnonzero(both)
+            while (up[up] != up).any():
+                up = up[up]
+            label = up[label]
+        at = np.concatenate(taken) if taken else np.zeros(0, np.int64)
+        return x[at], y[at], odd[at]
+
+    def found(self, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs, or a least spanning forest of them (taken again and again, so that few pairs are held)."""
+        held, size = [], 0
+        for tile in self.tiles():
+            if len(tile[0]):
+                held.append(tile)
+                size += len(tile[0])
+                if not whole and size > TILE:
+                    held = [self._spanning(*map(np.concatenate, zip(*held)))]
+                    size = len(held[0][0])
+        if not held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        x, y, odd = map(np.concatenate, zip(*held))
+        return (x, y) if whole else self._spanning(x, y, odd)[:2]
+
+
+def _blocks(num: int, den: int, whole: bool):
     def run(table: pa.Table) -> pa.Table:
-        """One pair of blocks of a pivot's members: pairs of different components that may link."""
-        sid, comp, n, own = (table.column(c).to_numpy() for c in ("sid", "component", "n", "own"))
-        coarse = np.frombuffer(b"".join(table.column("coarse").to_pylist()), np.uint8).reshape(-1, COARSE)
-        parity = [np.frombuffer(x, _U) for x in table.column("parity").to_pylist()]
-        width = np.array([len(x) for x in parity])
-        place, grids = np.zeros(len(sid), np.int64), {}
-        for w in np.unique(width).tolist():
-            rows = np.flatnonzero(width == w)
-            place[rows], grids[w] = np.arange(len(rows)), np.stack([parity[r] for r in rows])
-        two = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        a, b = [], []
-        for x in range(len(sid) - 1):
-            y = np.arange(x + 1, len(sid))
-            y = y[(comp[y] != comp[x]) & ((own[y] != own[x]) | (not two))]
-            y = y[_may_link(n[x], n[y], coarse[x], coarse[y], num, den)]
-            odd = np.zeros(len(y), np.int64)
-            for w in np.unique(width[y]).tolist():
-                own_w = width[y] == w
-                odd[own_w] = _odd(parity[x], grids[w][place[y[own_w]]])
-            y = y[(den + num) * odd <= (den - num) * (n[x] + n[y])]
-            a.append(np.minimum(sid[x], sid[y]))
-            b.append(np.maximum(sid[x], sid[y]))
-        whole = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": whole(a), "b": whole(b)})
+        """One pair of blocks of a family: pairs of different components that may link, a spanning forest of them or the whole."""
+        block = _Block(table, num, den)
+        x, y = block.found(whole)
+        ends = np.sort(block.sid[np.stack((x, y), 1)], 1)
+        return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
 
     return run
 
@@ -437,38 +535,54 @@ def classes(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id",
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _named(docs: DataFrame, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """All sets, one row for each different one, and the seed under which no two of them have one name."""
+    seed = 5
+    while True:
+        base = materialize(sets(docs, k, id_col, text_col, seed))
+        reps = base.filter("sid IS NOT NULL").groupBy("sid").agg(
+            F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("first"), F.max("n").alias("n"), F.any_value("coarse").alias("coarse"), F.any_value("parity").alias("parity"), F.min("check").alias("c"), F.max("check").alias("d")
+        )
+        # of each set the document of the least id (null if there is none other), and the hash that its tokens are asked for by
+        reps = reps.select("sid", F.col("first.id").alias("rep"), F.xxhash64("first.id", "first.th").alias("ask"), "n", "coarse", "parity", (F.col("c") != F.col("d")).alias("two"))
+        reps = materialize(reps, base.count())
+        if reps.filter("two").isEmpty():
+            return base, reps.drop("two"), seed
+        release(base, reps)
+        seed += 1
+
+
 def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    base = materialize(sets(docs, k, id_col, text_col))
-    reps = base.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("first"), F.max("n").alias("n"), F.any_value("coarse").alias("coarse"), F.any_value("parity").alias("parity"))
-    # of each set the document of the least id (null if there is none other), and the hash that its tokens are asked for by
-    reps = materialize(reps.select("sid", F.col("first.id").alias("rep"), F.xxhash64("first.id", "first.th").alias("ask"), "n", "coarse", "parity"))
-    total = reps.agg(F.sum("n")).first()[0] or 0
+    base, reps, seed = _named(docs, k, id_col, text_col)
+    n_sets, total = reps.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // GROUP_KEYS)
-    keys = _packed_keys(docs, k, num, den, groups, _frequent(base), id_col, text_col)
-    met = materialize(keys.groupBy("p").applyInArrow(_meet, "many boolean, a long, b long"))
+    keys = _packed_keys(docs, k, num, den, groups, _frequent(base), id_col, text_col, seed)
+    met = materialize(keys.groupBy("p").applyInArrow(_meet, "many boolean, a long, b long").distinct(), 8 * n_sets)
 
     def of(c: str, *columns: str) -> DataFrame:
         return reps.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns])
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (of a, b, ask_a, ask_b) that link."""
         asked = pairs.select(F.col("ask_a").alias("i")).unionAll(pairs.select(F.col("ask_b").alias("i")))
-        return _verify(pairs.select("a", "b"), _token_sets(docs, asked, k, id_col, text_col), num, den)
-
-    pairs = met.filter("NOT many").select("a", "b").distinct()
-    likely = materialize(_plausible(pairs.join(of("a", "n", "ask", "coarse"), "a").join(of("b", "n", "ask", "coarse"), "b"), num, den))
-    close = materialize(_close(likely.join(of("a", "n", "parity"), "a").join(of("b", "n", "parity"), "b"), num, den))
-    links = components(verified(close))
-    members = met.filter("many").select(F.col("a").alias("sid"), F.col("b").alias("pivot")).distinct()
-    members = members.join(links.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    apart = members.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("pivot", "size")
-    rows = members.join(apart, "pivot").join(reps.select("sid", "n", "coarse", "parity"), "sid")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid", "pivot"), F.ceil(F.col("size") / BLOCK))).withColumn("other", F.explode(F.expr(f"sequence(0L, ceil(size / {BLOCK}) - 1)")))
-    rows = rows.select("pivot", "sid", "component", "n", "coarse", "parity", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    more = materialize(rows.groupBy("pivot", "i", "j").applyInArrow(_blocks(num, den), "a long, b long"))
-    if not more.isEmpty():
-        more = materialize(more.distinct().join(of("a", "ask"), "a").join(of("b", "ask"), "b"))
-        links = components(verified(more).unionAll(links.select("node", "component")))
+        return _verify(pairs.select("a", "b"), _token_sets(docs, asked, k, id_col, text_col, seed), num, den)
+
+    pairs = met.filter("NOT many").select("a", "b")
+    likely = materialize(_plausible(pairs.join(of("a", "n", "ask", "coarse"), "a").join(of("b", "n", "ask", "coarse"), "b"), num, den), n_sets)
+    close = materialize(_close(likely.join(of("a", "n", "parity"), "a").join(of("b", "n", "parity"), "b"), num, den), n_sets)
+    release(likely)
+    links, done = components(verified(close)), close.select("a", "b")
+    members = met.filter("many").select(F.col("b").alias("family"), F.col("a").alias("sid"))
+    for whole in [*[False] * FORESTS, True]:
+        members = _apart(members, links, n_sets)
+        more = _between(members, reps, num, den, whole, n_sets)
+        if more is None:
+            break
+        fresh = materialize(more.join(done, ["a", "b"], "left_anti").join(of("a", "ask"), "a").join(of("b", "ask"), "b"), more.count())
+        release(more)
+        links = components(verified(fresh).unionAll(links.select("node", "component")))
+        done = done.unionAll(fresh.select("a", "b"))
     named = reps.join(links, reps["sid"] == links["node"], "left").select("sid", "rep", F.coalesce("component", "sid").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "c").select(F.col("sid").alias("s"), F.col("c").alias("class"), "component_id")
@@ -476,15 +590,35 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     return out.select("id", "th", "n", "sid", "class", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _apart(members: DataFrame, links: DataFrame, n_sets: int) -> DataFrame:
+    """family, sid, component and size of the families that have members in different components. A family is named by its
+    pivot, or by the component that the pivot has fallen into since."""
+    of = lambda c, name: links.select(F.col("node").alias(c), F.col("component").alias(name))
+    merged = members.select("family", "sid").join(of("family", "f"), "family", "left").select(F.coalesce("f", "family").alias("family"), "sid").distinct()
+    merged = merged.join(of("sid", "c"), "sid", "left").select("family", "sid", F.coalesce("c", "sid").alias("component"))
+    apart = merged.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi")
+    return materialize(merged.join(apart.select("family", "size"), "family"), n_sets)
+
+
+def _between(members: DataFrame, reps: DataFrame, num: int, den: int, whole: bool, n_sets: int) -> DataFrame | None:
+    """Pairs (a, b) of one family and different components that may link: a spanning forest a block, or the whole; None
+    without any."""
+    rows = members.join(reps.select("sid", "n", "parity"), "sid")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid", "family"), F.ceil(F.col("size") / BLOCK))).withColumn("other", F.explode(F.expr(f"sequence(0L, ceil(size / {BLOCK}) - 1)")))
+    rows = rows.select("family", "sid", "component", "n", "parity", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    found = materialize(rows.groupBy("family", "i", "j").applyInArrow(_blocks(num, den, whole), "a long, b long").distinct(), n_sets)
+    return None if found.isEmpty() else found
+
+
 def keep_first(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class: that of the smallest id (of the smallest text hash, if an id has several texts).
 
     Texts without words are no class and all stay, as do rows with a null id.
     """
-    found = materialize(_classes(docs, k, num, den, id_col, text_col).filter("sid IS NOT NULL AND id IS NOT NULL").select("id", "th", "class"))
+    found = materialize(_classes(docs, k, num, den, id_col, text_col).filter("sid IS NOT NULL AND id IS NOT NULL").select("id", "th", "class"), docs.count())
     least = found.groupBy("class").agg(F.min(F.struct("id", "th")).alias("least"))
-    go = materialize(found.join(least, "class").filter(F.struct("id", "th") != F.col("least")).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct())
-    side = F.broadcast(go) if go.count() <= BROADCAST_ROWS else go
+    go = materialize(found.join(least, "class").filter(F.struct("id", "th") != F.col("least")).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct(), found.count())
+    side = sided(go, go.count())
     kept = docs.join(side, (docs[id_col] == side["_id"]) & (F.xxhash64(docs[text_col]) == side["_th"]), "left_anti")
     if found.groupBy("id", "th").count().filter("count > 1").isEmpty():
         return kept

@@ -142,6 +142,7 @@ def test_one_token_row_a_set(spark, monkeypatch):
     vocabulary = [f"w{i}" for i in range(400)]
     text = " ".join(rng.choice(vocabulary) for _ in range(80))
     rows = [(i, text) for i in range(40)] + [(100 + i, text + " more") for i in range(40)] + [(None, text)] * 5
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(jaccard, "FILTER_BITS", 64)  # most copies pass by chance
     monkeypatch.setattr(jaccard, "FILTER_EACH", 1, raising=False)
     seen, verify = [], jaccard._verify
@@ -154,3 +155,52 @@ def test_one_token_row_a_set(spark, monkeypatch):
     got = sorted(map(tuple, jaccard.classes(frame(spark, rows).repartition(8), 4, 80, 100).collect()), key=str)
     assert got == plain(rows, 4, 80, 100)
     assert seen and all(n == distinct for n, distinct in seen)
+
+
+def test_one_name_for_two_sets(spark, monkeypatch):
+    """If two sets get one name, all are renamed by another seed."""
+    rng = random.Random(13)
+    rows = list(enumerate(words(rng, 30) for _ in range(20)))
+    true = jaccard.set_id
+    monkeypatch.setattr(jaccard, "set_id", lambda tokens, seed=5: 4 if seed == 5 else true(tokens, seed))
+    base, reps, seed = jaccard._named(frame(spark, rows), 4, "doc_id", "text")
+    assert seed == 6 or reps.count() == 20  # workers may hold the function as it was
+    monkeypatch.undo()
+    base, reps, seed = jaccard._named(frame(spark, rows), 4, "doc_id", "text")
+    assert seed == 5 and reps.count() == 20 and base.count() == 20
+
+
+def test_blocks_against_all_pairs():
+    """The whole of a block has all linked pairs of different components; a forest joins what they join."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(6):
+        base = rng.integers(0, 1 << 63, int(rng.integers(20, 200)), dtype=np.uint64)
+        sets += [np.unique(np.concatenate((base[rng.random(len(base)) > rng.random() / 5], rng.integers(0, 1 << 63, int(rng.integers(0, 12)), dtype=np.uint64)))) for _ in range(25)]
+    component = [min(i, i // 3 * 3) for i in range(len(sets))]
+    for two in (False, True):
+        own = [i % 2 if two else 0 for i in range(len(sets))]
+        table = pa.table({"sid": list(range(len(sets))), "component": component, "n": [len(s) for s in sets], "parity": [jaccard.parity_of(s) for s in sets], "own": own, "i": [0] * len(sets), "j": [int(two)] * len(sets)})
+        ask = lambda whole: list(zip(*jaccard._blocks(80, 100, whole)(table).to_pydict().values()))  # noqa: B023, E731
+        whole, forest = ask(True), ask(False)
+        linked = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if component[a] != component[b] and not (two and own[a] == own[b]) and jaccard._linked(sets[a], sets[b], 80, 100)}
+        assert linked and linked <= set(whole) and set(forest) <= set(whole) and len(forest) < len(set(component))
+
+        def joined(pairs):
+            root = {c: c for c in component}
+            for a, b in pairs:
+                a, b = component[a], component[b]
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
+                root[max(a, b)] = min(a, b)
+            for c in root:
+                while root[root[c]] != root[c]:
+                    root[c] = root[root[c]]
+            return root
+
+        assert joined(whole) == joined(forest)
