@@ -9,10 +9,11 @@ suffix positions, and overlapping occurrences merge into removal spans.
 Spark writes the benchmark to the shared folder in groups of about GROUP_WORDS words, and tasks read one group a pass; a
 larger benchmark takes several passes, and none of it goes through the driver.
 
-Defined results: null text has no words; a document or item without words is never hit; repeated rows each get a row;
+Defined results: null text has no words; a document or item without words is never hit; very long texts are searched
+whole (a shard of their own); overlapping hits are one span, so ties decide nothing; repeated rows each get a row;
 repeated items (same id and text) count once; items with a null id hit words like others and count together as one item,
 without a name (null, last in items); an empty table gives an empty table, an empty benchmark hits nothing;
-other input columns are ignored (find) or passed on (clean).
+other input columns are ignored (find) or passed on (clean), whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import lean, written
+from lodestone.session import ship
 
 #: A word: any run of characters but ASCII ones that are neither letter nor digit; upper case is lowered first.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -190,6 +192,7 @@ def _shards(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 def _groups(benchmark: DataFrame, id_col: str, text_col: str) -> list[tuple[str, int]]:
     """Folders with the benchmark in groups of about GROUP_WORDS words (by bytes, six a word), and their items' number."""
+    ship(benchmark.sparkSession)
     items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // (GROUP_WORDS * 6)))

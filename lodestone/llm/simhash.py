@@ -7,10 +7,11 @@ hash, once for every time that it occurs, so its weight is its frequency.  A bit
 The search cuts fingerprints into radius + 2 blocks.  Two fingerprints within the radius agree in at least two blocks,
 so tables keyed by each pair of blocks hold all of them; a pair is reported by the first table that has it.
 
-Defined results: null text counts as the empty text, whose fingerprint is 0; equal texts have equal fingerprints;
+Defined results: null text counts as the empty text, whose fingerprint is 0; very long texts vote whole; a bit with as
+many votes for as against it is 0; equal texts have equal fingerprints;
 rows with equal id and text are one document, returned as often as it occurs; texts of one id follow each other by
 their hash; a table of one document has itself as its next; an empty table gives an empty table; other input columns
-are ignored.
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
