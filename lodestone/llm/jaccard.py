@@ -17,6 +17,8 @@ it; a pair is a candidate if either set uses the shared key.  Frequencies steer
 
 *Candidates.*  Keys are dealt by hash in packed arrays.  A key that few sets share gives all its pairs.  A key that many
 share gives the pairs with one member, its pivot (the least), which are linear in number; the members are kept by pivot.
+A key that HOT sets of one part of a task share goes to its group by a few of them only; all its members are kept by key,
+and get the key's pivot afterwards.  So no group is as large as a family.
 
 *Families.*  After the first components are known, pivots of one component are one family, so members that share many
 keys meet once.  A family whose members all fell into one component is done.  Of the rest, members of different components
@@ -58,6 +60,8 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 SMALL = 8
 #: Of other keys, those that at most so many sets use give all pairs of these sets with the rest.
 FEW = 3
+#: Sets of one part of a task that make a key hot.
+HOT = 64
 #: Rows of one block; a task holds two.
 BLOCK = 2048
 #: Rounds of spanning forests.
@@ -77,6 +81,10 @@ COARSE = 128
 #: A token is frequent if it is in so many documents, of those so many in one part of a task count; at most so many are told to tasks.
 FREQUENT, LOCAL, FREQUENT_TOKENS = 12, 3, 1 << 16
 USED, EXACT, _NONE = 1, 2, -1
+#: Mark of a set that stands for a hot key's others.
+_STANDS = 1
+#: Rows of _meet: a pair; a member and its pivot; a hot key and its pivot, or one of its few users; a hot key and a member.
+PAIR, STAR, HOT_PIVOT, HOT_USER, HOT_MEMBER = range(5)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -254,9 +262,29 @@ def _frequent(base: DataFrame) -> np.ndarray:
     return np.sort(top.toArrow().column(0).to_numpy().view(_U))
 
 
+def _hot_parted(key: np.ndarray, ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and ids of one part of a task without most members of its hot keys (`least` or more); and which of the given are hot.
+
+    Of a hot key as many users stay as tell few from many, and one set that stands for it.
+    """
+    order = np.lexsort((ids & ~3, -(ids & USED), key))
+    k, i = key[order], ids[order]
+    start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(k)))
+    hot = np.repeat(size >= least, size)
+    if not hot.any():
+        return key, ids, np.zeros(len(key), bool)
+    place = np.arange(len(k)) - np.repeat(start, size)
+    users = hot & (place <= FEW) & ((i & USED) > 0)
+    stand = hot & (place == 0)
+    was = np.zeros(len(key), bool)
+    was[order[hot]] = True
+    return np.concatenate((k[~hot | users], k[stand])), np.concatenate((i[~hot | users], i[stand] & ~3 | _STANDS)), was
+
+
 def _packed_keys(docs: DataFrame, k: int, num: int, den: int, groups: int, frequent: np.ndarray, id_col: str, text_col: str, seed: int) -> DataFrame:
     """p, keys, ids: the keys of all sets (copies within a partition once), packed by group of the deal."""
-    told = docs.sparkSession.sparkContext.broadcast(frequent)
+    told, least = docs.sparkSession.sparkContext.broadcast(frequent), HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands, seen = WordHashes(), _bands(num, den), set()
@@ -271,9 +299,14 @@ def _packed_keys(docs: DataFrame, k: int, num: int, den: int, groups: int, frequ
                 key, mark = bands.keys(tokens, told.value)
                 keys.append(key)
                 ids.append(sid | mark)
-            key = np.concatenate(keys) if keys else np.zeros(0, _U)
-            sid = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-            p = ((key >> _U(32)) % _U(groups)).astype(np.int64)
+            every = np.concatenate(keys) if keys else np.zeros(0, _U)
+            marked = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+            group = lambda key: ((key >> _U(32)) % _U(groups)).astype(np.int64)
+            key, sid, hot = _hot_parted(every, marked, least)
+            if hot.any():
+                names = group(every[hot]) << 32 | (every[hot] & _U(0xFFFFFFFF)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - (int(marked[0]) >> 2) % groups], pa.int64()), pa.array([names.tobytes()], pa.binary()), pa.array([(marked[hot] & ~3).tobytes()], pa.binary())], names=["p", "keys", "ids"])
+            p = group(key)
             order = np.argsort(p, kind="stable")
             key, sid, p = key[order].astype(np.uint32), sid[order], p[order]
             start = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else np.zeros(0, np.int64)
@@ -286,11 +319,24 @@ def _packed_keys(docs: DataFrame, k: int, num: int, den: int, groups: int, frequ
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """One group of the deal: candidate pairs (many = false), and each member of a key that many sets share with its pivot."""
-    key = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32)
-    ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
+    """One group of the deal: candidate pairs, members of keys that many sets share with their pivots, and what hot keys
+    have for theirs (PAIR to HOT_MEMBER)."""
     p = table.column("p")[0].as_py()
-    sid, mark = ids & ~3, ids & 3
+    ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
+    packed = b"".join(table.column("keys").to_pylist())
+    made: dict[int, list[np.ndarray]] = {kind: [np.zeros((0, 2), np.int64)] for kind in range(5)}
+    if p < 0:
+        made[HOT_MEMBER].append(np.stack((np.frombuffer(packed, np.int64), ids), 1))
+    else:
+        _met(p, np.frombuffer(packed, np.uint32), ids & ~3, ids & 3, made)
+    rows = {kind: np.unique(np.concatenate(x), axis=0) for kind, x in made.items()}
+    both = np.concatenate([*rows.values()])
+    return pa.table({"kind": pa.array(np.repeat([*rows], [len(x) for x in rows.values()]), pa.int32()), "a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+
+
+def _met(p: int, key: np.ndarray, sid: np.ndarray, mark: np.ndarray, made: dict[int, list[np.ndarray]]) -> None:
+    hot_keys = np.unique(key[mark == _STANDS])
+    mark = np.where(mark == _STANDS, 0, mark)
     order = np.lexsort((-mark, sid, key))
     key, sid, mark = key[order], sid[order], mark[order]
     first = np.concatenate(([True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])))  # a set's strongest mark for a key
@@ -298,33 +344,31 @@ def _meet(table: pa.Table) -> pa.Table:
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(start, len(key)))
     used = np.add.reduceat(mark & USED, start) > 0
-    a, b = [], []
+    hot = np.isin(key[start], hot_keys)
+    pairs = lambda x, y: made[PAIR].append(np.stack((np.minimum(x, y), np.maximum(x, y)), 1))
     for s in range(2, SMALL + 1):
-        rows = start[(size == s) & used][:, None] + np.arange(s)
+        rows = start[(size == s) & used & ~hot][:, None] + np.arange(s)
         for i in range(s):
             for j in range(i + 1, s):
                 x, y = rows[:, i], rows[:, j]
                 ok = ((mark[x] | mark[y]) & USED) > 0
-                a.append(sid[x[ok]])
-                b.append(sid[y[ok]])
-    many = []
-    for at, s in zip(start[(size > SMALL) & used].tolist(), size[(size > SMALL) & used].tolist()):
-        rows = np.arange(at, at + s)
-        users = sid[rows[(mark[rows] & USED) > 0]]
-        if len(users) <= FEW:  # all pairs of this key, and no more
-            for pivot in users:
-                rest = sid[rows][sid[rows] != pivot]
-                a.append(np.minimum(pivot, rest))
-                b.append(np.maximum(pivot, rest))
+                pairs(sid[x[ok]], sid[y[ok]])
+    for g in np.flatnonzero(((size > SMALL) | hot) & used).tolist():
+        rows = np.arange(start[g], start[g] + size[g])
+        members = sid[rows]
+        users = members[(mark[rows] & USED) > 0]
+        name = p << 32 | int(key[start[g]])
+        if len(users) <= FEW:  # all pairs of these, and no more
+            for user in users:
+                pairs(user, members[members != user])
+            if hot[g]:
+                made[HOT_USER].append(np.stack((np.full(len(users), name), users), 1))
             continue
-        pivot = users[0]
-        rest = sid[rows][sid[rows] != pivot]
-        a.append(np.minimum(pivot, rest))
-        b.append(np.maximum(pivot, rest))
-        many.append(np.stack((rest, np.full(len(rest), pivot)), 1))
-    pairs, stars = (np.unique(x, axis=0) for x in (np.stack((np.concatenate(a), np.concatenate(b)), 1) if a else np.zeros((0, 2), np.int64), np.concatenate(many) if many else np.zeros((0, 2), np.int64)))
-    both = np.concatenate((pairs, stars))
-    return pa.table({"many": pa.array(np.arange(len(both)) >= len(pairs)), "a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+        rest = members[members != users[0]]
+        pairs(users[0], rest)
+        made[STAR].append(np.stack((rest, np.full(len(rest), users[0])), 1))
+        if hot[g]:
+            made[HOT_PIVOT].append(np.array([[name, users[0]]]))
 
 
 def _filter_of(asked: DataFrame) -> np.ndarray:
@@ -560,7 +604,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     n_sets, total = reps.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // GROUP_KEYS)
     keys = _packed_keys(docs, k, num, den, groups, _frequent(base), id_col, text_col, seed)
-    met = materialize(keys.groupBy("p").applyInArrow(_meet, "many boolean, a long, b long").distinct(), 8 * n_sets)
+    met = materialize(keys.groupBy("p").applyInArrow(_meet, "kind int, a long, b long").distinct(), 8 * n_sets)
 
     def of(c: str, *columns: str) -> DataFrame:
         return reps.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns])
@@ -570,12 +614,14 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
         asked = pairs.select(F.col("ask_a").alias("i")).unionAll(pairs.select(F.col("ask_b").alias("i")))
         return _verify(pairs.select("a", "b"), _token_sets(docs, asked, k, id_col, text_col, seed), num, den)
 
-    pairs = met.filter("NOT many").select("a", "b")
+    hot = met.filter(F.col("kind").isin(HOT_PIVOT, HOT_USER)).select(F.col("a").alias("key"), "kind", F.col("b").alias("with"))
+    hot = met.filter(F.col("kind") == HOT_MEMBER).select(F.col("a").alias("key"), F.col("b").alias("sid")).join(sided(hot, hot.count()), "key").filter("sid != with")
+    pairs = met.filter(F.col("kind") == PAIR).select("a", "b").unionAll(hot.select(F.least("sid", "with"), F.greatest("sid", "with"))).distinct()
     likely = materialize(_plausible(pairs.join(of("a", "n", "ask", "coarse"), "a").join(of("b", "n", "ask", "coarse"), "b"), num, den), n_sets)
     close = materialize(_close(likely.join(of("a", "n", "parity"), "a").join(of("b", "n", "parity"), "b"), num, den), n_sets)
     release(likely)
     links, done = components(verified(close)), close.select("a", "b")
-    members = met.filter("many").select(F.col("b").alias("family"), F.col("a").alias("sid"))
+    members = met.filter(F.col("kind") == STAR).select(F.col("b").alias("family"), F.col("a").alias("sid")).unionAll(hot.filter(F.col("kind") == HOT_PIVOT).select("with", "sid")).distinct()
     for whole in [*[False] * FORESTS, True]:
         members = _apart(members, links, n_sets)
         more = _between(members, reps, num, den, whole, n_sets)

@@ -204,3 +204,28 @@ def test_blocks_against_all_pairs():
             return root
 
         assert joined(whole) == joined(forest)
+
+
+def test_hot_keys(spark, monkeypatch):
+    """Keys that many sets of one part share reach their group by a few sets only, and lose no link."""
+    rng = random.Random(21)
+    one, two = words(rng, 90), words(rng, 90)
+    half = " ".join(one.split()[:45] + two.split()[45:])
+    rows = [edited(rng, rng.choice((one, two, half)), rng.randint(0, 6)) for _ in range(110)] + [words(rng, rng.randint(1, 60)) for _ in range(40)] + [one] * 5
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = plain(rows, 4, 85, 100)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    seen = []
+    for size in (2, 5, 20):
+        monkeypatch.setattr(jaccard, "HOT", size)
+        import numpy as np
+
+        key = np.array([7] * 12 + [9] * 2 + [11], np.uint64)
+        ids = (np.arange(15) << 2) | np.array([3] * 6 + [2] * 6 + [3] * 3)
+        k, i, hot = jaccard._hot_parted(key, ids, size)
+        seen.append((int(hot.sum()), len(k)))
+        for parts in (1, 4):
+            got = sorted(map(tuple, jaccard.classes(frame(spark, rows).repartition(parts), 4, 85, 100).collect()), key=str)
+            assert got == want, (size, parts)
+    assert seen == [(14, 4 + 1 + 2 + 1 + 1), (12, 4 + 1 + 3), (0, 15)]
