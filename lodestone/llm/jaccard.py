@@ -664,7 +664,8 @@ def keep_first(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_i
     Texts without words are no class and all stay, as do rows with a null id.
     """
     found = materialize(_classes(docs, k, num, den, id_col, text_col).filter("sid IS NOT NULL AND id IS NOT NULL").select("id", "th", "class"), docs.count())
-    least = found.groupBy("class").agg(F.min(F.struct("id", "th")).alias("least"))
+    # written first: both sides of the join are then plain exchanges, and Spark splits a class of very many copies
+    least = materialize(found.groupBy("class").agg(F.min(F.struct("id", "th")).alias("least")), docs.count())
     go = materialize(found.join(least, "class").filter(F.struct("id", "th") != F.col("least")).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct(), found.count())
     side = sided(go, go.count())
     kept = docs.join(side, (docs[id_col] == side["_id"]) & (F.xxhash64(docs[text_col]) == side["_th"]), "left_anti")
