@@ -96,9 +96,16 @@ _OP = ["service_name", "name"]
 
 
 def _held(spans: DataFrame) -> DataFrame:
-    """What anomaly tests need of each span, and the span as a whole in `row`, so that its columns may have any names."""
+    """What anomaly tests need of each span, and its columns under numbers, so that they may have any names and those that
+    nobody reads are not carried along."""
     d = F.col("duration_ns").cast("decimal(38,0)")
-    return spans.select(*_OP, "start_ns", "seq", "duration_ns", d.alias("d"), (d * d).cast("decimal(38,0)").alias("q"), F.struct("*").alias("row"))
+    needed = [*_OP, "start_ns", "seq", "duration_ns", "d", "q"]
+    whole = spans.select(*needed[:-2], d.alias("d"), (d * d).cast("decimal(38,0)").alias("q"), F.struct("*").alias("row"))
+    return whole.select(*needed, *[F.col("row").getField(c).alias(f"_{i}") for i, c in enumerate(spans.columns)])
+
+
+def _big(c: str):
+    return F.coalesce(F.col(c), F.lit(0)).cast("decimal(38,0)")
 
 
 def _on(mark: str, keys: list[str]):
@@ -110,8 +117,8 @@ def _marked(mark: str, keys: list[str]) -> list:
 
 
 def _with_anomaly(judged: DataFrame, spans: DataFrame) -> DataFrame:
-    """row's columns and is_anomaly, which takes the place of a column of that name."""
-    return judged.select(*[F.col("row").getField(c).alias(c) for c in spans.columns if c != "is_anomaly"], "is_anomaly")
+    """The spans' columns and is_anomaly, which takes the place of a column of that name."""
+    return judged.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(spans.columns) if c != "is_anomaly"], "is_anomaly")
 
 
 def anomalies_expanding(spans: DataFrame, k: float = 3, bucket_ns: int = 86_400_000_000_000) -> DataFrame:
@@ -137,6 +144,8 @@ def anomalies_rolling(spans: DataFrame, k: float = 3, window: int = 100, chunk:
     """spans with is_anomaly: judged by the last `window` spans of its operation.
 
     Operations are cut into chunks of `chunk` rows (`window` at least); each chunk gets the window rows before it as context.
+    Sums over the last rows are carried from row to row: the row before comes in, the one that far back goes out, so a row
+    costs the same for any window.
     """
     if window < 2:
         raise ValueError("window must be at least 2")
@@ -152,8 +161,13 @@ def anomalies_rolling(spans: DataFrame, k: float = 3, window: int = 100, chunk:
     own = Window.partitionBy(*part).orderBy("seq", "duration_ns")
     placed = cut.join(firsts, _on("k", part)).withColumn("i", F.col("first") + F.row_number().over(own) - 1).withColumn("c", F.expr(f"i div {chunk}"))
     near = placed.withColumn("c", F.explode(F.when(F.col("i") % chunk >= chunk - window, F.array(F.col("c"), F.col("c") + 1)).otherwise(F.array(F.col("c")))))
-    w = Window.partitionBy(*_OP, "c").orderBy("i").rowsBetween(-window, -1)
-    judged = near.withColumn("is_anomaly", _judged(F.count("d").over(w), F.sum("d").over(w).cast("decimal(38,0)"), F.sum("q").over(w).cast("decimal(38,0)"), F.col("duration_ns"), k))
+    order = Window.partitionBy(*_OP, "c").orderBy("i")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    figures = lambda c: {"n": F.when(F.col(c).isNull(), 0).otherwise(1), "t": _big(c), "q": (_big(c) * _big(c)).cast("decimal(38,0)")}
+    comes, goes = figures("duration_ns"), figures("gone")
+    held = near.withColumn("gone", F.lag("duration_ns", window).over(order)).withColumns({f"{f}1": (comes[f] - goes[f]) for f in comes})
+    sums = held.withColumns({"n": F.sum("n1").over(before), "t": F.sum("t1").over(before).cast("decimal(38,0)"), "q": F.sum("q1").over(before).cast("decimal(38,0)")})
+    judged = sums.withColumn("is_anomaly", _judged(F.col("n"), F.col("t"), F.col("q"), F.col("duration_ns"), k))
     return _with_anomaly(judged.filter(F.expr(f"c = i div {chunk}")), spans)
 
 

@@ -76,6 +76,24 @@ def test_rolling_ties(spark):
     assert len(got) == 31 and [r.duration_ns for r in got if r.is_anomaly] == [9]
 
 
+def test_rolling_sums_are_carried(spark):
+    # nulls among the durations, some near the largest whose squares still fit, windows of any size and over chunk borders
+    values = [None if i % 5 == 2 else (i * 37) % 11 + (10**15 if i % 41 == 0 else 0) for i in range(150)]
+    s = make(spark, [{"start": EPOCH + i // 2, "ns": v or 0} for i, v in enumerate(values)]).withColumn("duration_ns", F.when(F.col("seq") % 5 != 2, F.col("duration_ns"))).repartition(3)
+    for window, chunk in ((2, 2), (7, 7), (7, 10), (60, 64), (200, 20_000)):
+        judged = S.anomalies_rolling(s, 2, window, chunk)
+        want = []
+        for i, x in enumerate(values):
+            held = [h for h in values[max(0, i - window) : i] if h is not None]
+            n, t, q = len(held), sum(held), sum(h * h for h in held)
+            want.append(x is not None and n >= 2 and (n * x - t) ** 2 > 4 * (n * q - t * t))
+        assert [r.is_anomaly for r in judged.orderBy("seq").collect()] == want and any(want), (window, chunk)
+    # no row is added up once for each window it is in, and columns that nobody reads are not carried along
+    plan = S.anomalies_rolling(s, 3, 100).select("seq", "is_anomaly")._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedpreceding$(), -1" in plan and "-100, -1)" not in plan
+    assert "attributes" not in plan.split("Scan ExistingRDD")[0]
+
+
 def plain_depths(rows):
     up = {r["span"]: r.get("up") for r in rows}
 
